@@ -1,0 +1,9 @@
+"""Queries that are registered as further operators arrive."""
+
+
+def extra() -> dict:
+    return {}
+
+
+def extra_sql() -> dict:
+    return {}
