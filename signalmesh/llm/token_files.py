@@ -18,11 +18,13 @@ Defined cases: null and empty texts hold the end id only; null ids come first; r
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import open_store, settle, shared_dir, text_or_empty
 
-#: Blanks that the fast way does not handle: runs, those beside a newline or an end, and any other white space.
-ODD = re.compile(r"[^\S \n]|\u180e|[ \n](?=[ \n])|\A[ \n]|[ \n]\Z")
-CACHE_PIECES, CACHE_CHARS = 400_000, 64
+#: Pieces that one generation of a worker's cache holds; there are two generations of two caches.
+CACHE_PIECES = 250_000
+#: Marks that end a word in one piece of their own, if letters alone stand before.
+MARKS = frozenset(".,;:!?")
 MANIFEST = "shard long, path string, n_records long, n_tokens long"
 HEAD = "<qBI"
 
@@ -60,33 +63,65 @@ def unframe(raw: bytes, at: int = 0) -> tuple[bytes, int]:
     return body, at + 16 + n
 
 
+def plain_lines(text: str) -> list[list[str]] | None:
+    """The blank-separated pieces of each line, or None where blanks are not single or other white space occurs."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
+        return None
+    lines = text.split("\n")
+    return [x.split(" ") for x in lines] if all(map(str.isprintable, lines)) else None
+
+
+class PieceCache:
+    """Ids of pieces behind a lead. A full generation replaces the one before, whose pieces return as they recur."""
+
+    def __init__(self, encode, lead: str) -> None:
+        self.encode, self.lead = encode, lead
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def learn(self, pieces: set[str], bare: PieceCache | None = None) -> None:
+        """Afterwards `now` holds every piece; `bare` knows pieces without a lead, as for a mark behind letters."""
+        if len(self.now) + len(pieces) > CACHE_PIECES:
+            self.before, self.now = self.now, {}
+        now, before = self.now, self.before
+        missing = []
+        for p in pieces - now.keys():
+            if (ids := before.get(p)) is None:
+                missing.append(p)
+            else:
+                now[p] = ids
+        words = {p[:-1] if p[-1] in MARKS and p[:-1].isalpha() else p for p in missing}
+        words -= now.keys()
+        todo = list(words)
+        for k in range(0, len(todo), 4096):
+            part = todo[k : k + 4096]
+            now.update(zip(part, self.encode([self.lead + p for p in part]), strict=True))
+        for p in missing:
+            if p not in now:
+                now[p] = now[p[:-1]] + (bare or self).mark(p[-1])
+
+    def mark(self, mark: str) -> bytes:
+        if mark not in self.now:
+            self.now[mark] = self.encode([mark])[0]
+        return self.now[mark]
+
+
 class Encoder:
     """Texts to packed ids, one library call for each distinct piece that is not cached."""
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.first: dict[str, bytes] = {}  # pieces at the start of a line
-        self.later: dict[str, bytes] = {}  # pieces behind a blank
-        self.newline = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        missing = [p for p in pieces if p not in cache]
-        if len(cache) + len(missing) > CACHE_PIECES:
-            cache.clear()
-            missing = list(pieces)
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            cache.update(zip(part, self._ids([lead + p for p in part]), strict=True))
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.size = array(self.code).itemsize
+        self.first, self.later = PieceCache(self.ids, ""), PieceCache(self.ids, " ")
+        self.newline = self.ids(["\n"])[0]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -94,18 +129,29 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if ODD.search(text):
-                out[i] = self._ids([text])[0]
+            if (lines := plain_lines(text)) is None:
+                out[i] = self.ids([text])[0]
             else:
-                plain.append((i, [line.split(" ") for line in text.split("\n")]))
-        self._learn(self.first, {line[0] for _, lines in plain for line in lines}, "")
-        self._learn(self.later, {p for _, lines in plain for line in lines for p in line[1:]}, " ")
-        first, later = self.first, self.later
+                plain.append((i, [(line[0], line[1:]) for line in lines]))
+        heads, rest = set(), set()
+        for _, lines in plain:
+            for head, tail in lines:
+                heads.add(head)
+                rest.update(tail)
+        self.first.learn(heads)
+        self.later.learn(rest, self.first)
+        first, later = self.first.now.__getitem__, self.later.now.__getitem__
         for i, lines in plain:
-            out[i] = self.newline.join(first[line[0]] + b"".join([later[p] for p in line[1:]]) for line in lines)
+            out[i] = self.newline.join([first(head) + b"".join(map(later, tail)) for head, tail in lines])
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder, with its caches, for all tasks that a worker process runs."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Write shards and indexes below a shared folder URI; returns the settled manifest."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -117,8 +163,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
         name, file, index, at, total = "", None, [], 0, 0
         for batch in batches:
             if encoder is None:
-                encoder = Encoder(tokenizer)
-                end = np.array([end_id], encoder.dtype).tobytes()
+                encoder = encoder_of(tokenizer)
+                end = array(encoder.code, [end_id]).tobytes()
                 store.create_dir(base, recursive=True)
                 name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
                 file = store.open_output_stream(f"{base}/{name}.bin", compression=None)
@@ -126,8 +172,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
                 part = batch.slice(k, 256)
                 for i, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
-                    n = len(ids) // encoder.dtype.itemsize
-                    raw = frame(struct.pack(HEAD, i or 0, (i is None) | encoder.dtype.itemsize << 1, n) + ids)
+                    n = len(ids) // encoder.size
+                    raw = frame(struct.pack(HEAD, i or 0, (i is None) | encoder.size << 1, n) + ids)
                     file.write(raw)
                     index.append((at, n))
                     at, total = at + len(raw), total + n
