@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import NOT_ALNUM, buffers, rolled, settle, shared_dir, steps, text_or_empty, words
 
+#: Columns of a scan; a kept column of such a name stays under keep_<name>.
+NAMES = ("id", "text", "n_words", "hits", "spans", "items")
 _FOLD = bytes(32 if NOT_ALNUM[b] else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
 
 
@@ -76,16 +78,18 @@ def _scan(data: np.ndarray, at: np.ndarray, model: WindowSet):
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-         size: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
-    """id, text, n_words, hits (word indexes), spans (byte start and end of each hit run), items for each row."""
+         size: int = 13, block_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
+    """id, text, n_words, hits (word indexes), spans (byte start and end of each hit run), items and `keep` for each row."""
     spark = docs.sparkSession
-    schema = "id long, text string, n_words long, hits array<int>, spans array<int>, items array<string>"
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep or []))
+    carried = [f"keep_{c}" for c in keep or []]
+    schema = ", ".join(["id long, text string, n_words long, hits array<int>, spans array<int>, items array<string>", *(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carried)])
 
     def over(model):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, at = buffers(batch.column(1))
-                before = [batch.column(k).to_pylist() for k in (2, 3)] if batch.num_columns > 2 else None
+                before = [batch.column(c).to_pylist() for c in ("hits", "items")] if "hits" in batch.schema.names else None
                 for lo, hi in steps(at):
                     start, end, row, covered, items = _scan(data, at[lo : hi + 1], model.value)
                     bound = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -107,18 +111,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                         spans.append(np.stack([start[a + edge[::2]] - first, end[a + edge[1::2] - 1] - first], 1).ravel())
                         named.append(sorted(ids))
                     part = batch.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bound), pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(spans, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.string()))], ["id", "text", "n_words", "hits", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bound), pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(spans, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.string())), *(part.column(c) for c in carried)], ["id", "text", "n_words", "hits", "spans", "items", *carried])
 
         return run
 
-    out, held, taken, k = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")), 0, [], 0
+    out, held, taken = source, 0, []
     for r in benchmark.select(F.col(item_col).alias("i"), F.col("text").alias("t")).toLocalIterator():
         if taken and held + len(r["t"] or "") * 4 > block_bytes:
-            out = settle(out.mapInArrow(over(spark.sparkContext.broadcast(window_set(taken, size))), schema), shared_dir(spark), "block").select("id", "text", "hits", "items")
-            held, taken, k = 0, [], k + 1
+            out = settle(out.mapInArrow(over(spark.sparkContext.broadcast(window_set(taken, size))), schema), shared_dir(spark), "block").select("id", "text", "hits", "items", *carried)
+            held, taken = 0, []
         taken.append((r["i"], r["t"]))
         held += len(r["t"] or "") * 4
-    return out.mapInArrow(over(spark.sparkContext.broadcast(window_set(taken, size))), schema)
+    out = out.mapInArrow(over(spark.sparkContext.broadcast(window_set(taken, size))), schema)
+    return out.withColumnsRenamed({c: c.removeprefix("keep_") for c in carried if c.removeprefix("keep_") not in NAMES})
 
 
 def judged(scanned: DataFrame) -> DataFrame:

@@ -161,10 +161,10 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
             blank = np.array([v is not True for v in batch.column(1).to_pylist()], bool)
             pred = ["und" if b else v for v, b in zip(pred, blank, strict=True)]
             score = [0.0 if b else float(v) for v, b in zip(score, blank, strict=True)]
-            rest = [batch.column(k) for k in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[2:], "lang_pred", "score"])
+            rest = [batch.column(batch.schema.names.index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
     kept = list(dict.fromkeys([id_col, *(keep or [])]))
-    source = docs.select(F.coalesce(text_col, F.lit("")).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"), *kept)
+    source = docs.select(text_col, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"), *(c for c in kept if c != text_col))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept)
     return source.mapInArrow(run, f"{schema}, lang_pred string, score double")

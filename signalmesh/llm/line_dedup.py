@@ -65,10 +65,9 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
                 twice[at[once[at]]] = True
                 once[at] = True
         for k in range(0, bits, SEGMENT):
-            if (part := once[k : k + SEGMENT]).any():
+            if once[k : k + SEGMENT].any():
                 both = [zlib.compress(np.packbits(x[k : k + SEGMENT]).tobytes(), 1) for x in (once, twice)]
                 yield pa.RecordBatch.from_pydict({"segment": pa.array([k // SEGMENT], pa.int32()), "once": [both[0]], "twice": [both[1]]})
-            del part
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[int, list[np.ndarray]] = {}
@@ -101,11 +100,12 @@ def _suspected(keys: list[bytes], bits_of: np.ndarray) -> np.ndarray:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3,
-                bits_per_line: int = 16, max_filter_bits: int = 1 << 28, broadcast_keys: int = 500_000) -> DataFrame:
-    """id, text (kept lines joined by newline), n_lines, n_dropped for each row."""
+                bits_per_line: int = 16, max_filter_bits: int = 1 << 28, broadcast_keys: int = 500_000, keep: list[str] | None = None) -> DataFrame:
+    """id, text (kept lines joined by newline), n_lines, n_dropped and the columns named in `keep` for each row."""
     spark = docs.sparkSession
     low = -(2**63)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep or []))
+    carried = [f"keep_{c}" for c in keep or []]
     stats = own.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("lines")).first()
     bits = min(max_filter_bits, max(SEGMENT, 1 << max(1, (stats["lines"] or 0) * bits_per_line - 1).bit_length()))
     sc = spark.sparkContext
@@ -122,15 +122,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary())})
 
     uri = shared_dir(spark)
-    raw = own.select("id", F.col("text").cast("binary").alias("text"))
-    pairs = settle(raw.mapInArrow(suspects, "id long, digest binary"), uri, "suspects").distinct()
+    raw = own.select("id", F.col("text").cast("binary").alias("text"), *carried)
+    pairs = settle(raw.select("id", "text").mapInArrow(suspects, "id long, digest binary"), uri, "suspects").distinct()
     repeated = settle(pairs.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs).select("digest", "keep"), uri, "repeated")
 
     def apply(lookup):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: dict[str, list] = {"id": [], "text": [], "n_lines": [], "n_dropped": []}
-                extra = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+                extra = batch.column("drops").to_pylist() if lookup is None else [None] * batch.num_rows
                 for i, text, drops in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), extra, strict=True):
                     lines = text.split(b"\n")
                     drops = set(drops or ())
@@ -145,11 +145,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out["text"].append(b"\n".join(x for j, x in enumerate(lines) if j not in gone).decode())
                     out["n_lines"].append(len(lines))
                     out["n_dropped"].append(len(gone))
-                yield pa.RecordBatch.from_pydict({"id": pa.array(out["id"], pa.int64()), "text": pa.array(out["text"], pa.string()), "n_lines": pa.array(out["n_lines"], pa.int64()), "n_dropped": pa.array(out["n_dropped"], pa.int64())})
+                columns = {"id": pa.array(out["id"], pa.int64()), "text": pa.array(out["text"], pa.string()), "n_lines": pa.array(out["n_lines"], pa.int64()), "n_dropped": pa.array(out["n_dropped"], pa.int64())}
+                yield pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in carried})
 
         return run
 
-    schema = "id long, text string, n_lines long, n_dropped long"
+    schema = ", ".join(["id long, text string, n_lines long, n_dropped long", *(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in carried)])
     if repeated.count() <= broadcast_keys:
         lookup = sc.broadcast({bytes(r["digest"]): r["keep"] for r in repeated.toLocalIterator()})
         out = raw.mapInArrow(apply(lookup), schema)
@@ -157,5 +158,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         drops = pairs.join(repeated, "digest").where(F.col("id") < F.col("keep")).groupBy("id").agg(F.collect_list("digest").alias("drops"))
         keyed = raw.withColumn("key", F.coalesce("id", F.lit(low)))
-        out = keyed.join(drops.withColumnRenamed("id", "key"), "key", "left").select("id", "text", "drops").mapInArrow(apply(None), schema)
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+        out = keyed.join(drops.withColumnRenamed("id", "key"), "key", "left").select("id", "text", *carried, "drops").mapInArrow(apply(None), schema)
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", *(F.col(c).alias(c.removeprefix("keep_")) for c in carried))
