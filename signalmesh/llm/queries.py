@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language_id, line_dedup, merge_dropout, secrets, token_files, warc
+from . import decontaminate, fingerprints, jaccard_join, katz, language_id, line_dedup, merge_dropout, secrets, token_files, warc
 
 KINDS_BASE = ("assign", "access", "hex")
 
@@ -63,6 +63,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), fold_of("doc_id", 10) == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold_of("doc_id", 5) == 0)
     return language_id.identify(docs, docs.where(~F.col("held_out")), keep=["held_out"])
@@ -76,7 +80,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import pipeline_query
 
-    own = [op1_warc, op2_line_dedup, op3_token_records, op4_secret_scan, op5_fingerprint, op6_merge_dropout, op7_jaccard_join, op9_language_id, op10_decontaminate]
+    own = [op1_warc, op2_line_dedup, op3_token_records, op4_secret_scan, op5_fingerprint, op6_merge_dropout, op7_jaccard_join, op8_katz, op9_language_id, op10_decontaminate]
     return {f.__name__: f for f in own} | pipeline_query.extra()
 
 
