@@ -11,7 +11,7 @@ that doesn't suffice is compared directly, in blocks of such sets against all do
 Signatures travel as packed arrays, one block for each part and flush, are grouped in vectorised reductions, and only those
 that two sets share go on. Sets, not documents, are the nodes: copies collapse to one node before anything is paired.
 Within a signature, a pivot meets the others (a star, linear in the group); verified links merge components, and only groups
-that still span several components meet further pivots. No pair within a signature is lost: it is verified,
+that still span several components meet further pivots, more each turn. No pair within a signature is lost: it is verified,
 or both ends are already connected. Verification compares the whole word 5-grams of both texts.
 
 Nodes are named by 64 bits of a BLAKE2 digest of their hashed set. Defined cases: A-Z fold; fewer words than `size` make one
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, buffers, discard, mix64, rolled, settle, shared_dir, steps, text_or_empty, words
 
+INDEX, EXACT, SPENT = range(3)
 _SEG, _BAND, _WEIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -48,7 +49,7 @@ class Bands:
             tops.append(max(tops[-1] + 1, int(tops[-1] * self.ratio)))
         top = np.array(tops, np.int64)
         most = self.differences(top + top * 100 // self.percent) + 1
-        return top, most + np.maximum(1, most // 16), np.where(top <= 64, 1 << 30, 4)
+        return top, most + np.maximum(2, most // 8), np.where(top <= 64, 1 << 30, 4)
 
     def differences(self, total: np.ndarray) -> np.ndarray:
         return total * (100 - self.percent) // (100 + self.percent)
@@ -79,7 +80,11 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def signatures(bound: np.ndarray, s: np.ndarray, bands: Bands):
-    """(signature, row, probes) arrays of the sets of a step, and the rows whose allocation falls short."""
+    """(signature, row, mark) arrays of the sets of a step, and the rows whose allocation falls short.
+
+    A mark holds the number of signatures that the set may skip in this band, how many bands down it is, and the kind: INDEX (a
+    one-deletion neighbour, only indexed), EXACT, or SPENT (a one-deletion neighbour that is also probed).
+    """
     n = np.diff(bound)
     top, parts, special = bands.tables(int(max(n, default=1)) * 2)
     own = np.searchsorted(top, n)
@@ -106,28 +111,33 @@ def signatures(bound: np.ndarray, s: np.ndarray, bands: Bands):
         salt = gs.astype(np.uint64) * _SEG + band[gr].astype(np.uint64) * _BAND
         need = bands.differences(n + np.minimum(n, top[band])) + 1
         filled = np.bincount(gr, minlength=len(n))
-        by_size = np.lexsort((-size, gr))
-        rank = np.empty(len(gr), np.int64)
-        rank[by_size] = np.arange(len(gr)) - (np.cumsum(filled) - filled)[gr[by_size]]
-        probe = rank < need[gr]
+        spare = np.maximum(0, filled - need)
         missing = np.where(chosen, np.maximum(0, need - filled), 0)
         can = (gs < special[band][gr]) & (size > 1)
         usable = np.bincount(gr[can], minlength=len(n))
         short |= missing > usable
-        order2 = by_size[can[by_size]]
+        order2 = np.flatnonzero(can)  # rows ascend, so each row's usable segments are counted from its first
         rank2 = np.full(len(gr), 1 << 40)
         rank2[order2] = np.arange(len(order2)) - (np.cumsum(usable) - usable)[gr[order2]]
         spent = rank2 < missing[gr]
         group = np.repeat(np.arange(len(head)), size)
         near = (can if down == 0 else spent)[group]
-        exact = np.ones(len(gr), bool) if down == 0 else probe
-        out.append((mix64(total + salt)[exact], gr[exact], probe[exact]))
-        out.append((mix64(total[group] - w + salt[group])[near], r[near], spent[group][near]))
+        out.append((mix64(total + salt), gr, (np.minimum(spare, 1 << 20)[gr] << 8 | down << 2 | EXACT).astype(np.uint32)))
+        out.append((mix64(total[group] - w + salt[group])[near], r[near], (down << 2 | np.where(spent[group][near], SPENT, INDEX)).astype(np.uint32)))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), short
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), short
     return (*(np.concatenate(x) for x in zip(*out, strict=True)), short)
 
 
+def allocated(met: DataFrame) -> DataFrame:
+    """(sig, node, n, probe, index): each set skips as many of its most shared signatures as it may."""
+    kind, down = F.col("mark").bitwiseAND(3), F.shiftright("mark", 2).bitwiseAND(63)
+    x = met.withColumns({"kind": kind, "down": down, "spare": F.shiftright("mark", 8), "cost": F.count(F.lit(1)).over(Window.partitionBy("sig"))})
+    dear = F.row_number().over(Window.partitionBy("node", "down", "kind").orderBy(F.desc("cost"), "sig"))
+    probe = (F.col("kind") == SPENT) | (F.col("kind") == EXACT) & (dear > F.col("spare"))
+    return x.select("sig", "node", "n", probe.alias("probe"), (F.col("down") == 0).alias("index"))
+
+
 def components(edges: DataFrame, uri: str, name: str) -> DataFrame:
     """(node, label): the smallest node of each node's component, by alternating large and small stars."""
     edges = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), uri, f"{name}-0")
@@ -201,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             shift = np.cumsum([0, *(len(k[0]) for k in kept)])
             sig = np.concatenate([k[2] for k in kept])
             who = np.concatenate([k[3] + x for k, x in zip(kept, shift, strict=False)]).astype(np.uint32)
-            probe = np.concatenate([k[4] for k in kept])
+            mark = np.concatenate([k[4] for k in kept])
             part = (sig % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((who, part))
             cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -209,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 mine = order[cut[p] : cut[p + 1]]
                 if len(mine):
                     used, index = np.unique(who[mine], return_inverse=True)
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "sig": [sig[mine].tobytes()], "who": [(index.astype(np.uint32) << np.uint32(1) | probe[mine]).astype(np.uint32).tobytes()], "node": [nodes[used].tobytes()], "n": [sizes[used].astype(np.uint32).tobytes()], "short": pa.array([None], pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "sig": [sig[mine].tobytes()], "who": [index.astype(np.uint32).tobytes()], "mark": [mark[mine].tobytes()], "node": [nodes[used].tobytes()], "n": [sizes[used].astype(np.uint32).tobytes()], "short": pa.array([None], pa.int64())})
 
         for batch in batches:
             data, at = buffers(batch.column(1))
@@ -225,10 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     continue
                 s = np.concatenate([s[bound[k] : bound[k + 1]] for k in fresh])
                 count = np.diff(bound)[fresh]
-                sig, who, probe, short = signatures(np.concatenate([[0], np.cumsum(count)]), s, bands)
+                sig, who, mark, short = signatures(np.concatenate([[0], np.cumsum(count)]), s, bands)
                 for k in np.flatnonzero(short).tolist():
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "sig": [None], "who": [None], "node": [None], "n": [None], "short": pa.array([nodes[k]], pa.int64())}, schema=pa.schema([("part", pa.int32()), ("sig", pa.binary()), ("who", pa.binary()), ("node", pa.binary()), ("n", pa.binary()), ("short", pa.int64())]))
-                kept.append((np.array(nodes, np.int64), count, sig, who, probe))
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "sig": [None], "who": [None], "mark": [None], "node": [None], "n": [None], "short": pa.array([nodes[k]], pa.int64())}, schema=pa.schema([("part", pa.int32()), ("sig", pa.binary()), ("who", pa.binary()), ("mark", pa.binary()), ("node", pa.binary()), ("n", pa.binary()), ("short", pa.int64())]))
+                kept.append((np.array(nodes, np.int64), count, sig, who, mark))
                 held += len(sig)
                 if held >= 1_000_000:
                     yield from flush()
@@ -240,42 +250,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at, held = None, []
 
         def groups() -> Iterator[pa.RecordBatch]:
-            sig, node, n, probe = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((node, sig))
-            sig, node, n, probe = sig[order], node[order], n[order], probe[order]
-            same = (sig[1:] == sig[:-1]) & (node[1:] == node[:-1])
-            start = np.flatnonzero(np.concatenate([[True], ~same]))
-            probe = np.maximum.reduceat(probe, start)
-            sig, node, n = sig[start], node[start], n[start]
+            sig, node, n, mark = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((mark, node, sig))
+            sig, node, n, mark = sig[order], node[order], n[order], mark[order]
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (mark[1:] != mark[:-1])])
+            sig, node, n, mark = sig[new], node[new], n[new], mark[new]
             head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            long = np.diff(np.append(head, len(sig)))
-            keep = np.repeat((long > 1) & np.maximum.reduceat(probe, head), long)
-            for k in range(0, int(keep.sum()), 100_000):
-                x = np.flatnonzero(keep)[k : k + 100_000]
-                yield pa.RecordBatch.from_pydict({"sig": pa.array(sig[x].view(np.int64)), "node": pa.array(node[x]), "n": pa.array(n[x].astype(np.int64)), "probe": pa.array(probe[x])})
+            last = np.append(head[1:], len(sig)) - 1
+            keep = np.flatnonzero(np.repeat(node[head] != node[last], last - head + 1))  # two sets or more
+            for k in range(0, len(keep), 100_000):
+                x = keep[k : k + 100_000]
+                yield pa.RecordBatch.from_pydict({"sig": pa.array(sig[x].view(np.int64)), "node": pa.array(node[x]), "n": pa.array(n[x].astype(np.int64)), "mark": pa.array(mark[x].astype(np.int64))})
 
         for batch in batches:
-            for part, sig, who, node, n, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, sig, who, mark, node, n, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if short is not None:
-                    yield pa.RecordBatch.from_pydict({"sig": pa.array([None], pa.int64()), "node": pa.array([short], pa.int64()), "n": pa.array([0], pa.int64()), "probe": pa.array([True])})
+                    yield pa.RecordBatch.from_pydict({"sig": pa.array([None], pa.int64()), "node": pa.array([short], pa.int64()), "n": pa.array([0], pa.int64()), "mark": pa.array([0], pa.int64())})
                     continue
                 if part != at and held:
                     yield from groups()
                     held = []
                 at = part
-                who = np.frombuffer(who, np.uint32)
-                index = who >> np.uint32(1)
-                held.append((np.frombuffer(sig, np.uint64), np.frombuffer(node, np.int64)[index], np.frombuffer(n, np.uint32)[index], (who & np.uint32(1)).astype(bool)))
+                index = np.frombuffer(who, np.uint32)
+                held.append((np.frombuffer(sig, np.uint64), np.frombuffer(node, np.int64)[index], np.frombuffer(n, np.uint32)[index], np.frombuffer(mark, np.uint32)))
         if held:
             yield from groups()
 
-    packed = own.mapInArrow(sign, "part int, sig binary, who binary, node binary, n binary, short long")
-    met = settle(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "sig long, node long, n long, probe boolean"), uri, "met")
+    packed = own.mapInArrow(sign, "part int, sig binary, who binary, mark binary, node binary, n binary, short long")
+    met = settle(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "sig long, node long, n long, mark long"), uri, "met")
     names = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"))
     short = [r["node"] for r in met.where("sig is null").select("node").distinct().limit(100_001).collect()] if met.where("sig is null").limit(1).count() else []
     links = _direct(own, set(short), size, percent, met, uri) if short else None
 
-    group = met.where("sig is not null")
+    group = settle(allocated(met.where("sig is not null")), uri, "allocated")
+    probed = group.groupBy("sig").agg(F.max("probe").alias("any")).where("any").select("sig")
+    group = settle(group.join(probed, "sig", "left_semi"), uri, "probed")
     needed = group.select("node").distinct().join(names, "node").select("node", "first")
     texts = settle(_texts(own, needed, size, broadcast_ids, uri), uri, "texts")
     edges, tried, take, labels = [links] if links is not None else [], None, 1, None
@@ -284,8 +293,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if labels is None:
             ranked = ranked.withColumn("label", F.col("node"))
         ranked = settle(ranked, uri, f"ranked-{turn}")
-        pivot = ranked.where(F.col("rank") <= take).select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("probe").alias("pa"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (F.col("probe") | F.col("pa")) & (F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la"))
+        pivot = ranked.where(F.col("rank") <= take).select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("probe").alias("pa"), F.col("index").alias("ia"), F.col("rank").alias("ra"), F.col("label").alias("la"))
+        meets = F.when(F.col("n") >= F.col("na"), F.col("probe") & F.col("ia")).otherwise(False) | F.when(F.col("n") <= F.col("na"), F.col("pa") & F.col("index")).otherwise(False)
+        fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & meets & (F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la"))
         pairs = ranked.join(pivot, "sig").where(fits).select("a", F.col("node").alias("b")).distinct()
         pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), uri, f"pairs-{turn}")
         tried = pairs if tried is None else tried.union(pairs)
@@ -296,12 +306,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for e in edges:
                 linked = linked.union(e)
             labels = settle(components(linked, uri, f"star-{turn}"), uri, f"labels-{turn}")
-        left = ranked.where(F.col("rank") > take).drop("rank", "label").join(labels.withColumnRenamed("label", "l"), "node", "left").select("sig", "node", "n", "probe", F.coalesce("l", "node").alias("label"))
+        left = ranked.where(F.col("rank") > take).drop("rank", "label").join(labels.withColumnRenamed("label", "l"), "node", "left").select("sig", "node", "n", "probe", "index", F.coalesce("l", "node").alias("label"))
         open_ = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("probe").alias("any")).where("lo <> hi and any").select("sig")
         group = settle(left.join(open_, "sig", "left_semi"), uri, f"group-{turn}")
         if group.isEmpty():
             break
-        take = pivots
+        take = take * pivots
     named = labels.join(names, "node").groupBy("label").agg(F.min("first").alias("component"))
     linked = settle(labels.join(named, "label").select("node", "component"), uri, "components")
     alone = names.join(linked, "node", "left").select("node", F.coalesce("component", "first").alias("component"))
