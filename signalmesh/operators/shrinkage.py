@@ -27,6 +27,7 @@ def tau2_dl(effects, ses) -> float:
 def tau2_pm(effects, ses, steps: int = 200) -> float:
     """The between-variance at which the heterogeneity statistic equals its degrees of freedom, by bisection."""
     e, s = np.asarray(effects, float), np.asarray(ses, float)
+    e, s = e[np.isfinite(s)], s[np.isfinite(s)]
     df = len(e) - 1
     if df < 1 or _pool(e, s, 0.0)[2] <= df:
         return 0.0
@@ -41,8 +42,9 @@ def tau2_pm(effects, ses, steps: int = 200) -> float:
 
 
 def tau2_reml(effects, ses, steps: int = 500) -> float:
-    """Restricted maximum likelihood by fixed point, from the excess variance."""
+    """Restricted maximum likelihood by fixed point, from the excess variance; effects of infinite error have no part."""
     e, s = np.asarray(effects, float), np.asarray(ses, float)
+    e, s = e[np.isfinite(s)], s[np.isfinite(s)]
     if len(e) < 2:
         return 0.0
     now = max(1e-10, float(np.var(e, ddof=1) - np.mean(s * s)))
