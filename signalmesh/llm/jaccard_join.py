@@ -11,8 +11,10 @@ that doesn't suffice is compared directly, in blocks of such sets against all do
 Signatures travel as packed arrays, one block for each part and flush, are grouped in vectorised reductions, and only those
 that two sets share go on. Sets, not documents, are the nodes: copies collapse to one node before anything is paired.
 Within a signature, a pivot meets the others (a star, linear in the group); verified links merge components, and only groups
-that still span several components meet further pivots, more each turn. No pair within a signature is lost: it is verified,
-or both ends are already connected. Verification compares the whole word 5-grams of both texts.
+that still span several components meet further pivots, more each turn. From the second turn on, the join itself drops pairs whose parity
+sketches (1024 buckets of the universe, one bit each: the parity of a set's elements there) differ in more than H bits. As that
+count never exceeds the sets' true difference, such a pair cannot link. No pair within a signature is lost: it is verified, its
+sketches refute it, or both ends are already connected. Verification compares the whole word 5-grams of both texts.
 
 Nodes are named by 64 bits of a BLAKE2 digest of their hashed set. Defined cases: A-Z fold; fewer words than `size` make one
 shingle of the whole sequence; a text without words is empty, linked with nothing, its own component; rows that
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,9 @@ from .common import BLANK, buffers, discard, mix64, rolled, settle, shared_dir,
 
 INDEX, EXACT, SPENT = range(3)
 _SEG, _BAND, _WEIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
+#: 64-bit words of a parity sketch.
+SKETCH = 16
+_BUCKET = np.uint64(0x589965CC75374CC3)
 
 
 @dataclass(frozen=True)
@@ -79,6 +85,15 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketches(bound: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Parity sketches, one row of SKETCH words for each set: two differ in at most as many bits as their sets in elements."""
+    out = np.zeros((len(bound) - 1) * SKETCH, np.uint64)
+    bit = mix64(s ^ _BUCKET) % np.uint64(64 * SKETCH)
+    row = np.repeat(np.arange(len(bound) - 1), np.diff(bound))
+    np.bitwise_xor.at(out, row * SKETCH + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(-1, SKETCH)
+
+
 def signatures(bound: np.ndarray, s: np.ndarray, bands: Bands):
     """(signature, row, mark) arrays of the sets of a step, and the rows whose allocation falls short.
 
@@ -287,28 +302,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = settle(group.join(probed, "sig", "left_semi"), uri, "probed")
     needed = group.select("node").distinct().join(names, "node").select("node", "first")
     texts = settle(_texts(own, needed, size, broadcast_ids, uri), uri, "texts")
-    edges, tried, take, labels = [links] if links is not None else [], None, 1, None
+    words_ = [f"b{k}" for k in range(SKETCH)]
+    bits = texts.select("node", *[F.col("bits")[k].alias(w) for k, w in enumerate(words_)])
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"p{w}"))) for w in words_), F.lit(0))
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("na"))
+    tried, take, labels = None, 1, None
     for turn in range(1_000):
         ranked = group.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("node")))
         if labels is None:
             ranked = ranked.withColumn("label", F.col("node"))
         ranked = settle(ranked, uri, f"ranked-{turn}")
-        pivot = ranked.where(F.col("rank") <= take).select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("probe").alias("pa"), F.col("index").alias("ia"), F.col("rank").alias("ra"), F.col("label").alias("la"))
+        pivot = ranked.where(F.col("rank") <= take).select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("probe").alias("pa"), F.col("index").alias("ia"), F.col("rank").alias("ra"), F.col("label").alias("la"), *([F.col(w).alias(f"p{w}") for w in words_] if turn else []))
         meets = F.when(F.col("n") >= F.col("na"), F.col("probe") & F.col("ia")).otherwise(False) | F.when(F.col("n") <= F.col("na"), F.col("pa") & F.col("index")).otherwise(False)
         fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & meets & (F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la"))
-        pairs = ranked.join(pivot, "sig").where(fits).select("a", F.col("node").alias("b")).distinct()
+        pairs = ranked.join(pivot, "sig").where(fits & close if turn else fits).select("a", F.col("node").alias("b")).distinct()
         pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), uri, f"pairs-{turn}")
         tried = pairs if tried is None else tried.union(pairs)
         new = None if pairs.isEmpty() else settle(_verify(pairs, texts, size, percent), uri, f"edges-{turn}")
         if new is not None and not new.isEmpty() or labels is None:
-            edges += [new] if new is not None else []
-            linked = spark.createDataFrame([], "a long, b long")
-            for e in edges:
-                linked = linked.union(e)
-            labels = settle(components(linked, uri, f"star-{turn}"), uri, f"labels-{turn}")
-        left = ranked.where(F.col("rank") > take).drop("rank", "label").join(labels.withColumnRenamed("label", "l"), "node", "left").select("sig", "node", "n", "probe", "index", F.coalesce("l", "node").alias("label"))
+            linked = [e for e in (links if turn == 0 else labels.select(F.col("node").alias("a"), F.col("label").alias("b")), new) if e is not None]
+            labels = settle(components(reduce(DataFrame.union, linked) if linked else spark.createDataFrame([], "a long, b long"), uri, f"star-{turn}"), uri, f"labels-{turn}")
+        left = ranked.where(F.col("rank") > take).drop("rank", "label").join(labels.withColumnRenamed("label", "l"), "node", "left").select("sig", "node", "n", "probe", "index", F.coalesce("l", "node").alias("label"), *(words_ if turn else []))
         open_ = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("probe").alias("any")).where("lo <> hi and any").select("sig")
-        group = settle(left.join(open_, "sig", "left_semi"), uri, f"group-{turn}")
+        still = left.join(open_, "sig", "left_semi")
+        group = settle(still if turn else still.join(bits, "node"), uri, f"group-{turn}")
+        discard(spark, f"{uri}/ranked-{turn}")
         if group.isEmpty():
             break
         take = take * pivots
@@ -322,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _texts(own: DataFrame, needed: DataFrame, size: int, broadcast_ids: int, uri: str) -> DataFrame:
-    """node and text of one document of each needed node; its id travels as a broadcast up to a bound, else by a join."""
+    """node, text and sketch of one document of each needed node; its id travels as a broadcast up to a bound, else by a join."""
     needed = settle(needed, uri, "needed")
     spark = own.sparkSession
     if needed.count() <= broadcast_ids:
@@ -344,10 +362,11 @@ def _texts(own: DataFrame, needed: DataFrame, size: int, broadcast_ids: int, uri
             for lo, hi in steps(at):
                 bound, s = step_sets(data, at[lo : hi + 1], size)
                 nodes = [node_of(s[a:b]) if b > a else None for a, b in zip(bound[:-1], bound[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(1).slice(lo, hi - lo)], ["node", "text"])
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(sketches(bound, s).view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(1).slice(lo, hi - lo), bits], ["node", "text", "bits"])
 
-    named = some.mapInArrow(name, "node long, text string").where("node is not null")
-    return named.groupBy("node").agg(F.min("text").alias("text")).join(needed.select("node"), "node", "left_semi")
+    named = some.mapInArrow(name, "node long, text string, bits array<long>").where("node is not null")
+    return named.groupBy("node").agg(F.min("text").alias("text"), F.first("bits").alias("bits")).join(needed.select("node"), "node", "left_semi")
 
 
 def _direct(own: DataFrame, short: set[int], size: int, percent: int, met: DataFrame, uri: str) -> DataFrame:

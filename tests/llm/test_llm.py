@@ -373,3 +373,14 @@ def test_queries_are_registered():
 
     assert {f"op{k}" for k in range(1, 11)} <= {q.split("_")[0] for q in e.queries()} and "pipeline" in e.queries()
     assert json.dumps(sorted(e.oracle_sql()))
+
+
+def test_sketches_never_exceed_the_true_difference():
+    rng = np.random.default_rng(5)
+    for n, m in ((3, 0), (80, 60), (900, 850), (4000, 3000)):
+        both = rng.integers(0, 1 << 63, m).astype(np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n - m).astype(np.uint64)])) for _ in range(2))
+        one, two = jaccard_join.sketches(np.array([0, len(x), len(x) + len(y)]), np.concatenate([x, y]))
+        apart = sum(int(v).bit_count() for v in one ^ two)
+        assert apart <= len(set(x.tolist()) ^ set(y.tolist())) and (m or apart)
+        assert not (jaccard_join.sketches(np.array([0, len(x)]), x)[0] ^ one).any()
