@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, steps
+from .common import buffers, slices, steps
 
 WIDTHS = (2, 3, 4)
 
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     net = docs.sparkSession.sparkContext.broadcast(fit([bytes(r["t"]) for r in rows], [r["l"] for r in rows], **fitting) if rows else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data, at = buffers(batch.column(0))
             pred, score = [], []
             for lo, hi in steps(at, 1 << 18):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, shared_dir, text_or_empty
+from .common import discard, settle, shared_dir, slices, text_or_empty
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SEGMENT = 1 << 19
@@ -58,15 +58,16 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     """The bytes of the twice-seen filter of `bits` bits over all documents."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        for batch in batches:
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)  # packed, the highest bit first
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 at = np.unique(_positions(_hashes(_keys(text, min_chars)), bits))
-                twice[at[once[at]]] = True
-                once[at] = True
+                place, bit = at >> 3, (128 >> (at & 7)).astype(np.uint8)
+                np.bitwise_or.at(twice, place, once[place] & bit)
+                np.bitwise_or.at(once, place, bit)
         for k in range(0, bits, SEGMENT):
-            if once[k : k + SEGMENT].any():
-                both = [zlib.compress(np.packbits(x[k : k + SEGMENT]).tobytes(), 1) for x in (once, twice)]
+            if once[k // 8 : (k + SEGMENT) // 8].any():
+                both = [zlib.compress(x[k // 8 : (k + SEGMENT) // 8].tobytes(), 1) for x in (once, twice)]
                 yield pa.RecordBatch.from_pydict({"segment": pa.array([k // SEGMENT], pa.int32()), "once": [both[0]], "twice": [both[1]]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = sc.broadcast(twice_filter(own, min_chars, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, digests = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys = list(_keys(text, min_chars))
@@ -128,7 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def apply(lookup):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 out: dict[str, list] = {"id": [], "text": [], "n_lines": [], "n_dropped": []}
                 extra = batch.column("drops").to_pylist() if lookup is None else [None] * batch.num_rows
                 for i, text, drops in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), extra, strict=True):
