@@ -197,7 +197,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
-                    part_rows: int = 1_000_000, broadcast_ids: int = 2_000_000, pivots: int = 8) -> DataFrame:
+                    part_rows: int = 300_000, broadcast_ids: int = 2_000_000, pivots: int = 8) -> DataFrame:
     """id, n_shingles, component_id (smallest id of the rows connected by links) for each row."""
     spark: SparkSession = docs.sparkSession
     uri, bands = shared_dir(spark), Bands(percent)
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "sig": [None], "who": [None], "mark": [None], "node": [None], "n": [None], "short": pa.array([nodes[k]], pa.int64())}, schema=pa.schema([("part", pa.int32()), ("sig", pa.binary()), ("who", pa.binary()), ("mark", pa.binary()), ("node", pa.binary()), ("n", pa.binary()), ("short", pa.int64())]))
                 kept.append((np.array(nodes, np.int64), count, sig, who, mark))
                 held += len(sig)
-                if held >= 1_000_000:
+                if held >= 400_000:
                     yield from flush()
                     kept, held = [], 0
         if kept:
