@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step handles; a longer single text is one step of its own.
 STEP_BYTES = 1 << 20
+#: Rows and bytes of one Arrow batch between the JVM and a Python worker, at most.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +54,34 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by rows and bytes, as texts may be long; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = int(spark.conf.get(key, None) or 0)
+        if not 0 < have <= most:
+            spark.conf.set(key, most)
+
+
+#: What clears the caches that this worker process keeps across tasks, by operator.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(owner: str = "", clear: Callable[[], None] | None = None) -> None:
+    """At the start of a Python task: drop the caches of other operators, which the worker ran before, and return their memory."""
+    others = [k for k in _kept if k != owner]
+    for k in others:
+        _kept.pop(k)()
+    if clear is not None:
+        _kept[owner] = clear
+    if others:
+        gc.collect()  # models and their caches refer to each other
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -74,6 +106,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches cut to `rows` rows at most, without copying, so that what a task makes of one stays small."""
+    keep_only()
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)

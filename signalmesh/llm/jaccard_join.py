@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, buffers, discard, mix64, rolled, settle, shared_dir, steps, text_or_empty, words
+from .common import BLANK, buffers, discard, keep_only, mix64, rolled, settle, shared_dir, small_batches, steps, text_or_empty, words
 
 INDEX, EXACT, SPENT = range(3)
 _SEG, _BAND, _WEIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -200,10 +200,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     part_rows: int = 300_000, broadcast_ids: int = 2_000_000, pivots: int = 8) -> DataFrame:
     """id, n_shingles, component_id (smallest id of the rows connected by links) for each row."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     uri, bands = shared_dir(spark), Bands(percent)
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             data, at = buffers(batch.column(1))
             for lo, hi in steps(at):
@@ -216,6 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = max(4, int(total * 0.45 / part_rows))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         seen: set[int] = set()
         kept: list[tuple] = []
         held = 0
@@ -357,6 +360,7 @@ def _texts(own: DataFrame, needed: DataFrame, size: int, broadcast_ids: int, uri
         some = own.join(needed.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             data, at = buffers(batch.column(1))
             for lo, hi in steps(at):

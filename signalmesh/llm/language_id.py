@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, slices, steps
+from .common import buffers, slices, small_batches, steps
 
 WIDTHS = (2, 3, 4)
 
@@ -135,6 +135,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              sample_per_lang: int = 400, max_langs: int = 256, sample_bytes: int = 16_384, keep: list[str] | None = None, **fitting) -> DataFrame:
     """The rows of `docs` (id, text and the columns named in `keep`) with lang_pred and score, learned from `train`."""
+    small_batches(docs.sparkSession)
     rows = training_rows(train, id_col, text_col, lang_col, sample_per_lang, max_langs, sample_bytes)
     net = docs.sparkSession.sparkContext.broadcast(fit([bytes(r["t"]) for r in rows], [r["l"] for r in rows], **fitting) if rows else None)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle, shared_dir, slices, text_or_empty
+from .common import discard, settle, shared_dir, slices, small_batches, text_or_empty
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SEGMENT = 1 << 19
@@ -104,6 +104,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 bits_per_line: int = 16, max_filter_bits: int = 1 << 28, broadcast_keys: int = 500_000, keep: list[str] | None = None) -> DataFrame:
     """id, text (kept lines joined by newline), n_lines, n_dropped and the columns named in `keep` for each row."""
     spark = docs.sparkSession
+    small_batches(spark)
     low = -(2**63)
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep or []))
     carried = [f"keep_{c}" for c in keep or []]

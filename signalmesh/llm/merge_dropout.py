@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_or_empty
+from .common import keep_only, mix64, small_batches, text_or_empty
 
 BLANK_MARK = "▁"
 UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
@@ -297,6 +297,7 @@ def variant_of(doc_id: int | None, seed: int, variants: int) -> int:
 
 def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, seed: int, dropout: float, variants: int, schema: str, row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("merge_dropout", model_of.cache_clear)
         own = model_of(model)
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
@@ -308,6 +309,7 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, seed: int,
                 names = [c.split() for c in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n[1]]) for c, n in zip(zip(*rows, strict=True), names, strict=True)], [n[0] for n in names])
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
@@ -332,6 +334,7 @@ def decode(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
     """id and text of each row of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("merge_dropout", model_of.cache_clear)
         own = model_of(model)
         for batch in batches:
             texts = [own.decode(np.array(x or [], np.int64)).decode() for x in batch.column(1).to_pylist()]

@@ -10,10 +10,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from signalmesh.llm import decontaminate, fingerprints, jaccard_join, katz, language_id, line_dedup, merge_dropout, queries, secrets, token_files, warc
+from signalmesh.llm import common, decontaminate, fingerprints, jaccard_join, katz, language_id, line_dedup, merge_dropout, queries, secrets, token_files, warc
 from signalmesh.llm.common import shared_dir
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "été", "Ω"]
@@ -384,3 +385,31 @@ def test_sketches_never_exceed_the_true_difference():
         apart = sum(int(v).bit_count() for v in one ^ two)
         assert apart <= len(set(x.tolist()) ^ set(y.tolist())) and (m or apart)
         assert not (jaccard_join.sketches(np.array([0, len(x)]), x)[0] ^ one).any()
+
+
+def test_batches_are_bounded_and_smaller_settings_stay(spark):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k, None) for k in (rows, size)}
+    try:
+        spark.conf.set(rows, 100)
+        spark.conf.set(size, 1 << 30)
+        common.small_batches(spark)
+        assert spark.conf.get(rows) == "100" and int(spark.conf.get(size)) == common.BATCH_BYTES
+        spark.conf.set(rows, 0)  # no limit
+        common.small_batches(spark)
+        counts = spark.range(5000).repartition(1).mapInArrow(lambda b: (pa.RecordBatch.from_pydict({"n": [x.num_rows]}) for x in b), "n long").collect()
+        assert max(r["n"] for r in counts) <= common.BATCH_ROWS and sum(r["n"] for r in counts) == 5000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_task_drops_the_caches_of_other_operators():
+    gone = []
+    common.keep_only("a", lambda: gone.append("a"))
+    common.keep_only("a", lambda: gone.append("a"))
+    assert not gone
+    common.keep_only("b", lambda: gone.append("b"))
+    assert gone == ["a"]
+    common.keep_only()
+    assert gone == ["a", "b"] and not common._kept
