@@ -37,9 +37,9 @@ from .common import keep_only, mix64, small_batches, text_or_empty
 BLANK_MARK = "▁"
 UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 #: Units that one generation of a cache holds; there are two generations for each variant.
-CACHE_UNITS = 80_000
+CACHE_UNITS = 20_000
 #: Characters up to which units are merged in numpy, and units of one step.
-WIDE, STEP_UNITS = 48, 8192
+WIDE, STEP_UNITS = 48, 2048
 _MASK = 2**64 - 1
 _PLACE, _PIECE, _LAST = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
@@ -87,7 +87,7 @@ class Model:
         self.pair_key, self.pair_cost, self.pair_made = key[order], cost[order].astype(np.float32), made[order].astype(np.int32)
         bits = 21
         slot = self._slot(self.pair_key, bits)
-        self.pair_bits, self.pair_first = bits, np.searchsorted(slot[by := np.argsort(slot, kind="stable")], np.arange((1 << bits) + 1))
+        self.pair_bits, self.pair_first = bits, np.searchsorted(slot[by := np.argsort(slot, kind="stable")], np.arange((1 << bits) + 1)).astype(np.int32)
         self.pair_key, self.pair_cost, self.pair_made = (x[by] for x in (self.pair_key, self.pair_cost, self.pair_made))
         self.pair_chain = int(np.diff(self.pair_first).max())
 
@@ -300,8 +300,8 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, seed: int,
         keep_only("merge_dropout", model_of.cache_clear)
         own = model_of(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 packed = own.encode_all(texts, [variant_of(i, seed, variants) for i in ids], seed, dropout)
                 rows = [(i, *row(own, text, p)) for i, text, p in zip(ids, texts, packed, strict=True)]
