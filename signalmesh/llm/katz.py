@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, buffers, discard, mix64, settle, shared_dir, steps, text_or_empty, words
+from .common import BLANK, buffers, discard, mix64, settle, shared_dir, small_batches, steps, text_or_empty, words
 
 K, EPSILON = 5, 1e-3
 CODES = (1 << 20) - 1
@@ -186,7 +186,7 @@ def _pack(codes, parts: int, share: int):
                 context, token, row = token_pairs(data, at[lo : hi + 1])
                 held.append((context, token, row + docs, key[lo:hi], ~held_out[lo:hi].astype(bool)))
                 size, docs = size + len(token), docs + hi - lo
-                if size > 1_500_000:
+                if size > 700_000:
                     yield from flush()
                     held, size, docs = [], 0, 0
         if held:
@@ -267,9 +267,10 @@ def _gather(codes, share: int):
     return run
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = 2_000_000) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; `held_out` rows are not learned from."""
     spark = docs.sparkSession
+    small_batches(spark)
     uri, out_uri = shared_dir(spark), shared_dir(spark)
     text = text_or_empty(text_col)
     own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), held_out.alias("held_out"))
