@@ -2,17 +2,18 @@
 
 Works on the merge-type (BPE) model files of the SentencePiece library, whose vocabulary and scores it reads. A text becomes blank-led
 units, as no piece holds another character before a blank; each unit is merged by an agenda: the candidate of the best score,
-the leftmost on ties, is taken off, and a keyed hash of (seed, variant, unit, place, piece) skips it with probability
-`dropout`. The variant of a document is a keyed hash of its id, one of `variants`; thus a document's segmentation never
-depends on the run, task or order, and units recur often enough to be cached. At dropout 0 the result is the library's own.
+the leftmost on ties, is taken off, and a keyed hash of (seed, document id, position of the unit among the document's units, place in the
+unit, piece) skips it with probability `dropout`. Thus every occurrence of a word is varied on its own, and a document's
+segmentation never depends on the run, task or order. At dropout 0 the result is the library's own.
 
-Units that a batch of documents adds to the cache are merged together, one agenda step of all of them at a time
-in numpy; units of more than `WIDE` characters have a heap of their own. Both take the same candidates.
+What is cached of a unit that recurs is its merges without dropout. An occurrence that skips none of them has the cached ids; the others are
+merged together, one agenda step of all of them at a time in numpy; units of more than `WIDE` characters have a heap of
+their own and are not cached. Both take the same candidates.
 
 Characters outside the vocabulary become byte pieces; so does a literal U+2581, which the library would confuse
 with a blank. Decoding joins the pieces' bytes and drops the leading blank that encoding put there: it is lossless.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; a null id has variant 0; repeated rows
+Defined cases: null and empty texts have no ids and decode to the empty text; null ids are one id; repeated rows
 with equal ids have equal ids.
 """
 
@@ -22,9 +23,11 @@ import hashlib
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +39,34 @@ from .common import keep_only, mix64, small_batches, text_or_empty
 
 BLANK_MARK = "▁"
 UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
-#: Units that one generation of a cache holds; there are two generations for each variant.
-CACHE_UNITS = 20_000
+#: Units that one generation of the cache holds; there are two generations.
+CACHE_UNITS = 160_000
+#: Occurrences whose candidates are hashed together.
+HASHED = 1 << 16
 #: Characters up to which units are merged in numpy, and units of one step.
-WIDE, STEP_UNITS = 48, 2048
+WIDE, STEP_UNITS = 48, 4096
 _MASK = 2**64 - 1
 _PLACE, _PIECE, _LAST = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
+def units_of(text: str) -> list[str]:
+    """The units of a text behind a blank; those of an empty text are none."""
+    if not text:
+        return []
+    text = " " + text
+    if "  " in text or "\0" in text:
+        return UNITS.findall(text)
+    return list(filter(None, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+
+
+def candidate(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return place.astype(np.uint64) * np.uint64(_PLACE) + piece.astype(np.uint64) * np.uint64(_PIECE)
+
+
+def skipped(keys: np.ndarray, candidates: np.ndarray, threshold: int) -> np.ndarray:
+    return (keys ^ candidates) * np.uint64(_LAST) >> np.uint64(32) < threshold
+
+
 class Model:
     """Pieces, scores and byte pieces of a model file, and the caches of one worker process."""
 
@@ -73,7 +96,7 @@ class Model:
         self.lengths = np.array([len(p) for p in parts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.pool = np.frombuffer(b"".join(parts), np.uint8)
-        self.caches: dict[tuple, tuple[UnitCache, UnitCache]] = {}
+        self.cache = UnitCache(self)
         self.of_char = np.full(0x110000, -1, np.int32)
         for piece, (_, i) in self.merges.items():
             if len(piece) == 1:
@@ -108,9 +131,17 @@ class Model:
         cost[(a < 0) | (b < 0)] = np.inf
         return cost, made
 
-    def segment_all(self, units: list[str], salt: int, threshold: int) -> list[bytes]:
-        """Packed ids of many units."""
+    def candidates(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """`pairs`, of infinite cost where the keyed hash skips them."""
+        cost, made = self.pairs(a, b)
+        if threshold:
+            cost[skipped(keys, candidate(place, made), threshold)] = np.inf
+        return cost, made
+
+    def segment_all(self, units: list[str], keys: np.ndarray | int, threshold: int, trails: list[bytes] | None = None) -> list[bytes]:
+        """Packed ids of many units, each under its key or all under one; `trails` takes the hashed candidates each merged (numpy units only)."""
         out: list[bytes] = [b""] * len(units)
+        all_keys = np.broadcast_to(np.asarray(keys, np.uint64), len(units))
         size = np.array([len(u) for u in units], np.int64)
         order = np.argsort(size, kind="stable")
         for lo in range(0, len(order), STEP_UNITS):
@@ -118,8 +149,7 @@ class Model:
             chars = np.frombuffer("".join([units[k] for k in step]).encode("utf-32-le"), np.uint32)
             n = size[step]
             start = np.cumsum(n) - n
-            powers = np.cumprod(np.full(int(n.max()), 0x100000001B3, np.uint64))
-            keys = mix64(np.add.reduceat((chars.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(chars)) - np.repeat(start, n)], start) + np.uint64(salt))
+            keys = all_keys[step]
             few = n <= WIDE
             for k in np.flatnonzero(~few).tolist():
                 out[step[k]] = array(self.code, self.segment(units[step[k]], int(keys[k]), threshold)).tobytes()
@@ -135,26 +165,38 @@ class Model:
             done = np.empty((len(rows), width), np.int32)
             place = np.broadcast_to(cell, sym.shape).copy()
             live = np.arange(len(rows))
+            steps: list[tuple[np.ndarray, np.ndarray]] = []
+            cost, made = self.candidates(sym[:, :-1], sym[:, 1:], place[:, :-1], keys[:, None], threshold)
             while len(live) and sym.shape[1] > 1:
-                cost, made = self.pairs(sym[:, :-1], sym[:, 1:])
-                if threshold:
-                    mixed = (keys[:, None] ^ (place[:, :-1].astype(np.uint64) * np.uint64(_PLACE) + made.astype(np.uint64) * np.uint64(_PIECE))) * np.uint64(_LAST)
-                    cost[mixed >> np.uint64(32) < threshold] = np.inf
                 best = cost.argmin(1)
+                going = np.isfinite(cost[np.arange(len(live)), best])
+                if not going.all():
+                    over = ~going
+                    done[live[over], : sym.shape[1]] = sym[over]
+                    done[live[over], sym.shape[1] :] = -1
+                    live, sym, place, keys, best, cost, made = (x[going] for x in (live, sym, place, keys, best, cost, made))
                 line = np.arange(len(live))
-                going = np.isfinite(cost[line, best])
-                over = ~going
-                done[live[over], : sym.shape[1]] = sym[over]
-                done[live[over], sym.shape[1] :] = -1
-                live, sym, place, keys, best, made = live[going], sym[going], place[going], keys[going], best[going], made[going]
-                line = np.arange(len(live))
+                if trails is not None:
+                    steps.append((live, candidate(place[line, best], made[line, best])))
                 sym[line, best] = made[line, best]
                 from_ = np.arange(sym.shape[1] - 1)
                 from_ = from_ + (from_ > best[:, None])
                 sym, place = np.take_along_axis(sym, from_, 1), np.take_along_axis(place, from_, 1)
+                cost, made = np.take_along_axis(cost, from_[:, :-1], 1), np.take_along_axis(made, from_[:, :-1], 1)
+                for cells in (best - 1, best):  # only the merged symbol's own pairs are new
+                    near = np.flatnonzero((cells >= 0) & (cells < cost.shape[1]))
+                    c = cells[near]
+                    cost[near, c], made[near, c] = self.candidates(sym[near, c], sym[near, c + 1], place[near, c], keys[near], threshold)
             done[live, : sym.shape[1]] = sym
             done[live, sym.shape[1] :] = -1
             count = (done != -1).sum(1)
+            if steps:
+                of = np.concatenate([r for r, _ in steps])
+                taken = np.concatenate([c for _, c in steps])[np.argsort(of, kind="stable")].tobytes()
+                at = 0
+                for k, end in zip(rows.tolist(), (np.cumsum(np.bincount(of, minlength=len(rows))) * 8).tolist(), strict=True):
+                    trails[k] = taken[at:end]
+                    at = end
             packed = done[done != -1].astype(np.dtype(self.code)).tobytes()
             wide = np.dtype(self.code).itemsize
             ends = (np.cumsum(count) * wide).tolist()
@@ -210,48 +252,41 @@ class Model:
                 out.append(merges[sym[i]][1])
         return out
 
-    def cache(self, seed: int, variant: int, dropout: float) -> tuple[UnitCache, UnitCache]:
-        """Ids of words behind a blank, and of other units, for one variant."""
-        key = (seed, variant, dropout)
-        if key not in self.caches:
-            salt, threshold = (seed * 0x100000001B3 + variant) & _MASK, int(dropout * 2**32)
-            self.caches[key] = UnitCache(self, " ", salt, threshold), UnitCache(self, "", salt, threshold)
-        return self.caches[key]
-
-    def encode_all(self, texts: list[str], variants: list[int], seed: int = 0, dropout: float = 0.0) -> list[bytes]:
-        """Packed ids of each text in its variant."""
-        out: list[bytes] = [b""] * len(texts)
-        for variant in set(variants):
-            spaced, bare = self.cache(seed, variant, dropout)
-            words, others, plain = set(), {" ", "\n"}, []
-            for k, text in enumerate(texts):
-                if variants[k] != variant or not text:
-                    continue
-                if "  " in text or text[0] == " ":
-                    units = UNITS.findall(" " + text)
-                    others.update(units)
-                    plain.append((k, None, units))
-                    continue
-                lines = [x.split(" ") for x in text.split("\n")]
-                words.update(lines[0])
-                for line in lines[1:]:
-                    others.add(line[0])
-                    words.update(line[1:])
-                plain.append((k, lines[0], lines[1:]))
-            spaced.learn(words)
-            bare.learn(others)
-            word, other = spaced.now.__getitem__, bare.now.__getitem__
-            newline = other("\n")
-            for k, first, rest in plain:
-                if first is None:
-                    out[k] = b"".join(map(other, rest))
-                else:
-                    out[k] = newline.join([b"".join(map(word, first)), *[other(x[0]) + b"".join(map(word, x[1:])) for x in rest]])
-        return out
-
-    def encode(self, text: str, seed: int = 0, variant: int = 0, dropout: float = 0.0) -> bytes:
+    def encode_all(self, texts: list[str], docs: list[int | None], seed: int = 0, dropout: float = 0.0) -> list[bytes]:
+        """Packed ids of each text, varied by its document's id."""
+        threshold = int(dropout * 2**32)
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        at = [np.fromiter(map(number.__getitem__, units_of(t)), np.int64) for t in texts]
+        units = list(number)
+        size = np.array([len(x) for x in at], np.int64)
+        ends = np.cumsum(size)
+        own = np.concatenate(at) if at else np.zeros(0, np.int64)
+        again = (np.bincount(own, minlength=len(units)) > 1).tolist()
+        held = self.cache.learn(units, again)
+        known = [held.get(u, (None, b"")) for u in units]
+        ids, trails = [x for x, _ in known], [x for _, x in known]
+        alone = np.array([x is None for x in ids], bool)
+        trail = np.frombuffer(b"".join(trails), np.uint64)
+        length = np.array([len(x) // 8 for x in trails], np.int64)
+        first = np.cumsum(length) - length
+        base = np.repeat(np.array([doc_key(i, seed) for i in docs], np.uint64), size)
+        keys = mix64(base + (np.arange(len(own)) - np.repeat(ends - size, size)).astype(np.uint64) * np.uint64(_PLACE))
+        varied = alone[own]
+        for lo in range(0, len(own) if threshold else 0, HASHED):
+            unit = own[lo : lo + HASHED]
+            n = length[unit]
+            owner = np.repeat(np.arange(len(unit)), n)
+            of = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n - first[unit], n)
+            varied[lo + owner[skipped(keys[lo + owner], trail[of], threshold)]] = True
+        parts = [ids[k] for k in own.tolist()]
+        where = np.flatnonzero(varied)
+        for k, found in zip(where.tolist(), self.segment_all([units[k] for k in own[where].tolist()], keys[where], threshold), strict=True):
+            parts[k] = found
+        return [b"".join(parts[end - n : end]) for n, end in zip(size.tolist(), ends.tolist(), strict=True)]
+
+    def encode(self, text: str, seed: int = 0, doc_id: int | None = None, dropout: float = 0.0) -> bytes:
         """Packed ids of a text."""
-        return self.encode_all([text], [variant], seed, dropout)[0]
+        return self.encode_all([text], [doc_id], seed, dropout)[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 bytes that ids stand for, without the leading blank."""
@@ -264,25 +299,29 @@ class Model:
 
 
 class UnitCache:
-    """Packed ids of units behind a lead. A full generation replaces the one before, whose units return as they recur."""
+    """Packed ids and merges of units without dropout. A full generation replaces the one before, whose units return as they recur."""
 
-    def __init__(self, model: Model, lead: str, salt: int, threshold: int) -> None:
-        self.model, self.lead, self.salt, self.threshold = model, lead, salt, threshold
-        self.now: dict[str, bytes] = {"": b""} if not lead else {}
-        self.before: dict[str, bytes] = {}
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.now: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
 
-    def learn(self, units: set[str]) -> None:
-        """Afterwards `now` holds every unit."""
+    def learn(self, units: list[str], again: list[bool]) -> dict[str, tuple[bytes, bytes]]:
+        """The cache, which now holds every unit that it knew or that occurs again, but no wide one."""
         if len(self.now) + len(units) > CACHE_UNITS:
-            self.before, self.now = self.now, {} if self.lead else {"": b""}
+            self.before, self.now = self.now, {}
         missing = []
-        for u in units - self.now.keys():
-            if (ids := self.before.get(u)) is None:
+        for u, more in zip(units, again, strict=True):
+            if u in self.now:
+                continue
+            if (found := self.before.get(u)) is not None:
+                self.now[u] = found
+            elif more and len(u) <= WIDE:
                 missing.append(u)
-            else:
-                self.now[u] = ids
-        if missing:
-            self.now.update(zip(missing, self.model.segment_all([self.lead + u for u in missing], self.salt, self.threshold), strict=True))
+        trails = [b""] * len(missing)
+        ids = self.model.segment_all(missing, 0, 0, trails)
+        self.now.update(zip(missing, zip(ids, trails, strict=True), strict=True))
+        return self.now
 
 
 @lru_cache(maxsize=1)
@@ -291,11 +330,11 @@ def model_of(path: str) -> Model:
     return Model(path)
 
 
-def variant_of(doc_id: int | None, seed: int, variants: int) -> int:
-    return 0 if doc_id is None else xxhash.xxh3_64_intdigest(str(doc_id), seed=seed) % variants
+def doc_key(doc_id: int | None, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest("" if doc_id is None else str(doc_id), seed=seed & _MASK)
 
 
-def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, seed: int, dropout: float, variants: int, schema: str, row) -> DataFrame:
+def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, seed: int, dropout: float, schema: str, row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("merge_dropout", model_of.cache_clear)
         own = model_of(model)
@@ -303,7 +342,7 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, seed: int,
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                packed = own.encode_all(texts, [variant_of(i, seed, variants) for i in ids], seed, dropout)
+                packed = own.encode_all(texts, ids, seed, dropout)
                 rows = [(i, *row(own, text, p)) for i, text, p in zip(ids, texts, packed, strict=True)]
                 kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
                 names = [c.split() for c in schema.split(", ")]
@@ -314,12 +353,12 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, seed: int,
     return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, dropout: float = 0.1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, dropout: float = 0.1) -> DataFrame:
     """id and ids (array<int>) of each row."""
-    return _mapped(docs, model, id_col, text_col, seed, dropout, variants, "id long, ids array<int>", lambda own, text, ids: (np.frombuffer(ids, own.code).astype(np.int32),))
+    return _mapped(docs, model, id_col, text_col, seed, dropout, "id long, ids array<int>", lambda own, text, ids: (np.frombuffer(ids, own.code).astype(np.int32),))
 
 
-def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, dropout: float = 0.1, variants: int = 4) -> DataFrame:
+def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, dropout: float = 0.1) -> DataFrame:
     """id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256 and lossless."""
 
     def row(own: Model, text: str, packed: bytes):
@@ -327,7 +366,7 @@ def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
         raw = own.decode(ids)
         return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(raw).hexdigest(), raw == text.encode()
 
-    return _mapped(docs, model, id_col, text_col, seed, dropout, variants, "id long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean", row)
+    return _mapped(docs, model, id_col, text_col, seed, dropout, "id long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean", row)
 
 
 def decode(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -207,6 +208,27 @@ def test_merge_dropout(docs, empty):
     assert merge_dropout.encode_digests(empty, path).count() == 0
 
 
+def test_merge_dropout_varies_each_occurrence():
+    m = merge_dropout.Model(queries.tokenizer_path("piece_bpe_32k.model"))
+    threshold = int(0.3 * 2**32)
+    seen = set()
+    for doc in range(30):
+        text = "international " * 20 + "x" * 70 + "\n two  blanks\0 " * (doc % 2)
+        units = merge_dropout.UNITS.findall(" " + text)
+        assert merge_dropout.units_of(text) == units
+        step = merge_dropout.doc_key(doc, 17) + np.arange(len(units), dtype=np.uint64) * np.uint64(merge_dropout._PLACE)
+        alone = [array(m.code, m.segment(u, int(k), threshold)).tobytes() for u, k in zip(units, merge_dropout.mix64(step), strict=True)]
+        assert m.encode(text, 17, doc, 0.3) == b"".join(alone)
+        assert len(set(alone[:20])) > 1
+        seen.update(alone[:20])
+    assert len(seen) > 8
+    assert m.encode("international", 17, 1, 0.3) == m.encode_all(["other words", "international"], [2, 1], 17, 0.3)[1]
+    trail = np.frombuffer(m.cache.now[" international"][1], np.uint64)
+    keys = merge_dropout.mix64(np.array([merge_dropout.doc_key(d, 17) for d in range(2000)], np.uint64))
+    rates = merge_dropout.skipped(keys[:, None], trail, threshold).mean(0)
+    assert np.abs(rates - 0.3).max() < 0.05
+
+
 # ------------------------------------------------------------------ near duplicates
 def brute_components(rows, size=5, percent=80):
     sets = [jaccard_join.shingle_set(t, size) for _, t in rows]
