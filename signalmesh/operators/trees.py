@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .ic import daily_ic
 
@@ -20,18 +24,47 @@ def _model(rows: DataFrame, features: list[str], n: int, min_rows: int, seed: in
     return gbt.fit(x.transform(rows))
 
 
+def _tables(model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, thresholds, leaves) of every tree as a full tree of depth 3, nodes in heap order; from MLlib's own text, which has all digits."""
+    feature, threshold, leaf = np.zeros((len(model.trees), 7), int), np.full((len(model.trees), 7), np.inf), np.zeros((len(model.trees), 8))
+
+    def read(lines, k: int, node: int, depth: int) -> None:
+        words = next(lines).replace("(", " ").replace(")", " ").split()
+        if words[0] == "Predict:":
+            low = (node + 1 << 3 - depth) - 8
+            leaf[k, low : low + (1 << 3 - depth)] = float(words[1])
+            return
+        feature[k, node], threshold[k, node] = int(words[2]), float(words[4])
+        read(lines, k, 2 * node + 1, depth + 1)
+        next(lines)  # the Else
+        read(lines, k, 2 * node + 2, depth + 1)
+
+    for k, tree in enumerate(model.trees):
+        read(iter(tree.toDebugString.splitlines()[1:]), k, 0, 0)
+    return feature, threshold, leaf
+
+
 def _scores(df: DataFrame, features: list[str], model, counts) -> DataFrame:
-    """(date, identifier, target, s_<n>...): sums of the first n weighted trees."""
-    from pyspark.ml.feature import VectorAssembler
+    """(date, identifier, target, s_<n>...): sums of the first n weighted trees, in one pass however many trees there are."""
+    feature, threshold, leaf = _tables(model)
+    weights = list(model.treeWeights)
+    keys = ["date", "identifier", "target"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, line = pdf[features].to_numpy(float), np.arange(len(pdf))
+            out, total = pdf[keys].copy(), np.zeros(len(pdf))
+            for k, w in enumerate(weights):
+                node = np.zeros(len(pdf), int)
+                for _ in range(3):
+                    node = 2 * node + 1 + (x[line, feature[k][node]] > threshold[k][node])
+                total = total + leaf[k][node - 7] * w
+                if k + 1 in counts:
+                    out[f"s_{k + 1}"] = total
+            yield out
 
-    out = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
-    total = F.lit(0.0)
-    for k, (tree, w) in enumerate(zip(model.trees, model.treeWeights, strict=True), 1):
-        out = tree.setPredictionCol(f"_p{k}").transform(out)
-        total = total + F.col(f"_p{k}") * F.lit(float(w))
-        if k in counts:
-            out = out.withColumn(f"s_{k}", total)
-    return out.select("date", "identifier", "target", *(f"s_{n}" for n in counts))
+    schema = StructType([*(df.schema[c] for c in keys), *(StructField(f"s_{n}", DoubleType()) for n in sorted(counts))])
+    return df.select(*keys, *features).mapInPandas(run, schema)
 
 
 def tree_signal(panel, days: np.ndarray, rounds=ROUNDS, min_rows: int = 1000, seed: int = 0) -> tuple[DataFrame, int]:

@@ -223,7 +223,7 @@ def shapes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir)
-    return trees.tree_signal(p, p.all_days, (2, 4), 100)[0].select("date", "identifier", "s")
+    return trees.tree_signal(p, p.all_days)[0].select("date", "identifier", "s")
 
 
 def pls_query(spark: SparkSession, sf_dir: str) -> DataFrame:

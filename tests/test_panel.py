@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalmesh import cli
+from signalmesh import queries as registered
 from signalmesh.functions.columns import at_lag, avg_rank, interpolated, safe_corr
-from signalmesh.operators import cluster_methods, ic, linear, multiplicity
+from signalmesh.operators import cluster_methods, ic, linear, multiplicity, trees
 from signalmesh.operators.composite import DedupComposite
 from signalmesh.operators.cv import cross_validate, paired_against
 from signalmesh.operators.gate import fit_selected
@@ -81,6 +82,31 @@ def test_gate_is_coherent(panel):
     assert d.adopt_shapes == (d.pass_a and d.pass_b) and comp.shapes == d.adopt_shapes and "shapes" in str(d)
 
 
+def test_trees_score_as_mllib_does(panel):
+    from pyspark.ml.feature import VectorAssembler
+
+    model = trees._model(panel.df, panel.features, 12, 100, 0)
+    got = trees._scores(panel.df, panel.features, model, [1, 12])
+    want = model.transform(VectorAssembler(inputCols=panel.features, outputCol="_x").transform(panel.df))
+    both = got.join(want.select("date", "identifier", "prediction"), ["date", "identifier"]).toPandas()
+    assert len(both) == panel.df.count() and both["s_12"].to_numpy() == pytest.approx(both["prediction"].to_numpy(), abs=1e-12)
+    assert both["s_1"].nunique() == 8 < both["s_12"].nunique()
+
+
+def test_tree_signal_chooses_by_inner_days(panel):
+    out, best = trees.tree_signal(panel, panel.all_days, (2, 6, 12), 100)
+    assert best in (2, 6, 12) and out.count() == panel.df.count() and out.columns == ["date", "identifier", "target", "s"]
+    assert ic.daily_ic(out).agg(F.avg("ic")).first()[0] > 0
+
+
+def test_tree_query_is_the_whole_grid(panel, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registered, "panel", lambda *_: panel)
+    monkeypatch.setattr(trees, "_model", lambda rows, features, n, min_rows, seed, fit=trees._model: asked.append((n, min_rows)) or fit(rows, features, 2, min_rows, seed))
+    registered.queries()["tree_signal"](None, "")
+    assert asked[0] == (600, 1000) and trees.ROUNDS == (25, 50, 100, 150, 200, 300, 400, 600)
+
+
 def test_range_lag_equals_shift_join(panel):
     s = panel.df.select("date", "identifier", F.col("f1").alias("s"), "target")
     a = {(r[0], r[1]): r[2] for r in s.withColumn("l", at_lag("s", 5)).select("date", "identifier", "l").where("l is not null").collect()}
