@@ -208,7 +208,7 @@ def composite_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = gate_decision(panel(spark, sf_dir), n_stumps=60, min_rows=100)
+    d = gate_decision(panel(spark, sf_dir))
     return spark.createDataFrame([(d.adopt_shapes, float(d.oof_diff), float(d.oof_t), d.pass_a, d.pass_b)], "adopt_shapes boolean, oof_diff double, oof_t double, pass_a boolean, pass_b boolean")
 
 
@@ -217,7 +217,7 @@ def report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shapes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = shapes.fit_stump_shapes(supplier_panel(spark, sf_dir), FEATURES, 100, 100)
+    table = shapes.fit_stump_shapes(supplier_panel(spark, sf_dir), FEATURES)
     return spark.createDataFrame([(f, k, float(v)) for f, row in zip(FEATURES, table, strict=True) for k, v in enumerate(row)], "feature string, k int, value double")
 
 

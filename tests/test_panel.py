@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from signalmesh import cli
 from signalmesh import queries as registered
 from signalmesh.functions.columns import at_lag, avg_rank, interpolated, safe_corr
-from signalmesh.operators import cluster_methods, ic, linear, multiplicity, trees
+from signalmesh.operators import cluster_methods, ic, linear, multiplicity, shapes, trees
 from signalmesh.operators.composite import DedupComposite
 from signalmesh.operators.cv import cross_validate, paired_against
 from signalmesh.operators.gate import fit_selected
@@ -107,6 +107,17 @@ def test_tree_query_is_the_whole_grid(panel, monkeypatch):
     assert asked[0] == (600, 1000) and trees.ROUNDS == (25, 50, 100, 150, 200, 300, 400, 600)
 
 
+def test_shape_queries_have_the_whole_fit(spark, panel, monkeypatch):
+    fits = []
+    boost = shapes.boost_stumps
+    monkeypatch.setattr(shapes, "boost_stumps", lambda joint, sums, mean, p, rounds, min_rows, seed: fits.append((rounds, min_rows)) or boost(joint, sums, mean, p, rounds, min_rows, seed))
+    monkeypatch.setattr(registered, "panel", lambda *_: panel)
+    monkeypatch.setattr(registered, "supplier_panel", lambda *_: panel.df)
+    assert registered.queries()["shape_gate"](spark, "").count() == 1
+    assert registered.queries()["stump_shapes"](spark, "").count() == 400 * panel.p
+    assert len(fits) > 2 and set(fits) == {(600, 1000)}
+
+
 def test_range_lag_equals_shift_join(panel):
     s = panel.df.select("date", "identifier", F.col("f1").alias("s"), "target")
     a = {(r[0], r[1]): r[2] for r in s.withColumn("l", at_lag("s", 5)).select("date", "identifier", "l").where("l is not null").collect()}
