@@ -198,8 +198,8 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multiplicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir)
-    tests = [("suppliers", f, p.feature_ic[:, j] - p.feature_ic[:, 2]) for j, f in enumerate(p.features) if f not in ("f3", "f4")]
-    return spark.createDataFrame(multiplicity.multiplicity_table(spark, tests, n_boot=200)[0])
+    tests = [("suppliers", f, p.feature_ic[:, j] - p.feature_ic[:, 2]) for j, f in enumerate(p.features) if f != "f3"]
+    return spark.createDataFrame(multiplicity.multiplicity_table(spark, tests)[0])
 
 
 def composite_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,22 @@ def test_bootstrap_is_calibrated(spark):
     assert 1.5 < bar < 5 and table["p_wy"].between(0, 1).all() and table["p"].is_monotonic_increasing
 
 
+def test_multiplicity_query_is_the_whole_family(spark, panel, monkeypatch):
+    drawn, bootstrap = [], multiplicity.westfall_young
+    monkeypatch.setattr(multiplicity, "westfall_young", lambda spark, diffs, t, block, n_boot, seed: drawn.append(n_boot) or bootstrap(spark, diffs, t, block, n_boot, seed))
+    monkeypatch.setattr(registered, "panel", lambda *_: panel)
+    rows = registered.queries()["multiplicity_table"](spark, "").toPandas()
+    assert drawn == [4000] and set(rows["method"]) == set(panel.features) - {"f3"}
+
+
+def test_constant_differences_are_defined(spark):
+    same, always = np.zeros(120), np.full(120, 0.25)
+    table, bar = multiplicity.multiplicity_table(spark, [("c", "same", same), ("c", "always", always), ("c", "noise", np.random.default_rng(3).normal(size=120))], 20, 100)
+    by = table.set_index("method")
+    assert by.loc["same", ["diff", "t", "p", "p_holm", "p_bh", "p_wy"]].tolist() == [0, 0, 1, 1, 1, 1]
+    assert by.loc["always", ["p", "p_holm", "p_bh", "p_wy"]].tolist() == [0, 0, 0, 0] and np.isfinite(by.loc["always", "t"]) and np.isfinite(bar)
+
+
 def test_files_stream_and_demo(spark, frame, panel, tmp_path):
     for path, cols in zip(class_paths(str(tmp_path), 1), (["date", "identifier", *panel.features], ["date", "identifier", "target"]), strict=True):
         frame.select(cols).write.parquet(path)
