@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 the columns of `documents`. Stages are written as Parquet to the shared folder and read again.
 
 Decisions: a document without a recognised language (no letter, or a score below MIN_SCORE) goes; repeated lines go; of
-each near-duplicate group the row with the smallest doc_id stays; contaminated documents go.
+each near-duplicate group one row stays, that of the smallest doc_id (null last; among texts of one id, the smallest hash; exact
+repeated rows are one); contaminated documents go.
 """
 
 from __future__ import annotations
@@ -40,9 +41,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(docs.columns)
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = jaccard_join.near_duplicates(rows, "_row").select("_row", "component_id").distinct()
+    members = rows.select("_row", "doc_id").distinct().join(found, "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    stays = members.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -391,6 +391,17 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     del rng
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    import corpus_pipeline
+
+    a, b, c = (prose(700 + k, 120) for k in range(3))
+    rows = [(1, a), (1, a), (1, a + " more"), (2, b), (2, a + " again"), (3, b + " more"), (4, c), (4, c), (None, c + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(i for i, _ in kept) == [1, 2, 4]
+    assert {i: t for i, t in kept}[2] == b and {i: t for i, t in kept}[4] == c and {i: t for i, t in kept}[1] in (a, a + " more")
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
