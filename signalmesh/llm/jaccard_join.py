@@ -5,20 +5,26 @@ cut into bands; each band hashes the universe into m segments, and every set is
 for each segment that it fills, and for some segments also its one-deletion neighbourhood. A set probes its own band
 and those below that hold sizes of at least t |x|. Its allocation spends H + 1 units where they are cheapest: one unit for a
 segment's exact signature, largest (most selective) segments first, empty ones never; two units for a segment with
-one-deletion neighbours, if exact ones don't suffice. By the pigeonhole principle some unit then meets y. A set for which even
-that doesn't suffice is compared directly, in blocks of such sets against all documents.
-
-Signatures travel as packed arrays, one block for each part and flush, are grouped in vectorised reductions, and only those
-that two sets share go on. Sets, not documents, are the nodes: copies collapse to one node before anything is paired.
-Within a signature, a pivot meets the others (a star, linear in the group); verified links merge components, and only groups
-that still span several components meet further pivots, more each turn. From the second turn on, the join itself drops pairs whose parity
-sketches (1024 buckets of the universe, one bit each: the parity of a set's elements there) differ in more than H bits. As that
-count never exceeds the sets' true difference, such a pair cannot link. No pair within a signature is lost: it is verified, its
+one-deletion neighbours, if exact ones don't suffice. By the pigeonhole principle some unit then meets y. For a set for which even
+that doesn't suffice, its least elements are joined with those of all sets (two sets that link share one of their
+(1-t) n + 1 least elements), at any number of such sets.
+
+Signatures travel as packed arrays, one block for each part and flush, and are grouped in vectorised reductions. Only rows go on that
+have a partner under their signature: an indexed row needs a probing one of a fitting larger or equal size, a probing row an indexed one of a
+fitting smaller or equal size. Sets, not documents, are the nodes: copies collapse to one node before anything is paired.
+
+The rows of a signature are dealt into cells of about `cell_rows` rows at most, so that a hot signature spreads over many tasks. In the first turn cells of
+`small` rows or fewer pair all their rows, larger ones pair each row with the cell's first (a star), and the first rows of a hot signature's cells
+meet the least of them. Verified links merge components; only signatures that still span several components take part in further turns, where
+pivots, chosen by hash and more each turn, meet all rows by a join until every row is one. There, and before any text is
+read, parity sketches (1024 buckets of the universe, one bit each: the parity of a set's elements there) refute pairs that differ in more than H bits: that
+count never exceeds the sets' true difference, so such a pair cannot link. No pair within a signature is lost: it is verified, its
 sketches refute it, or both ends are already connected. Verification compares the whole word 5-grams of both texts.
 
 Nodes are named by 64 bits of a BLAKE2 digest of their hashed set. Defined cases: A-Z fold; fewer words than `size` make one
 shingle of the whole sequence; a text without words is empty, linked with nothing, its own component; rows that
-repeat an id are separate rows whose component is named by the smallest id; a null id never names one unless alone.
+repeat an id are separate rows whose component is named by the smallest id; a null id never names one unless alone; a very long text is one
+set, read whole, in a vectorised step of its own; only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -44,10 +50,16 @@ _BUCKET = np.uint64(0x589965CC75374CC3)
 
 @dataclass(frozen=True)
 class Bands:
-    """Size bands: their largest sizes, segment counts and number of segments with one-deletion neighbours."""
+    """Size bands: their largest sizes, segment counts and number of segments with one-deletion neighbours.
+
+    Bands up to `all_to` have such neighbours in every segment, larger ones in `some`; `share` scales the segment counts.
+    """
 
     percent: int = 80
     ratio: float = 1.6
+    all_to: int = 64
+    some: int = 4
+    share: float = 1.0
 
     def tables(self, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tops = [1]
@@ -55,7 +67,7 @@ class Bands:
             tops.append(max(tops[-1] + 1, int(tops[-1] * self.ratio)))
         top = np.array(tops, np.int64)
         most = self.differences(top + top * 100 // self.percent) + 1
-        return top, most + np.maximum(2, most // 8), np.where(top <= 64, 1 << 30, 4)
+        return top, np.maximum(1, ((most + np.maximum(2, most // 8)) * self.share).astype(np.int64)), np.where(top <= self.all_to, 1 << 30, self.some)
 
     def differences(self, total: np.ndarray) -> np.ndarray:
         return total * (100 - self.percent) // (100 + self.percent)
@@ -144,13 +156,83 @@ def signatures(bound: np.ndarray, s: np.ndarray, bands: Bands):
     return (*(np.concatenate(x) for x in zip(*out, strict=True)), short)
 
 
+def partnered(sig: np.ndarray, n: np.ndarray, mark: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asks, asked, cost) of rows sorted by signature: whether a row may probe, or be probed by, one of fitting size; rows of its signature."""
+    group = np.cumsum(np.concatenate([[0], sig[1:] != sig[:-1]])).astype(np.int64) if len(sig) else np.zeros(0, np.int64)
+    probe, index, n = mark & 3 != INDEX, mark >> 2 & 63 == 0, n.astype(np.int64)
+    key = group << 32 | n
+    order = np.argsort(key, kind="stable")
+    at = key[order]
+    probes, indexed = (np.concatenate([[0], np.cumsum(x[order])]) for x in (probe, index))
+    first, behind = np.searchsorted(at, key), np.searchsorted(at, key, "right")
+    largest, least = np.minimum(n * 100 // percent, (1 << 32) - 1), -(-n * percent // 100)
+    asked = index & (probes[np.searchsorted(at, group << 32 | largest, "right")] - probes[first] > probe)
+    asks = probe & (indexed[behind] - indexed[np.searchsorted(at, group << 32 | least)] > index)
+    return asks, asked, np.bincount(group[asks | asked], minlength=int(group[-1]) + 1 if len(group) else 0)[group]
+
+
 def allocated(met: DataFrame) -> DataFrame:
-    """(sig, node, n, probe, index): each set skips as many of its most shared signatures as it may."""
-    kind, down = F.col("mark").bitwiseAND(3), F.shiftright("mark", 2).bitwiseAND(63)
-    x = met.withColumns({"kind": kind, "down": down, "spare": F.shiftright("mark", 8), "cost": F.count(F.lit(1)).over(Window.partitionBy("sig"))})
+    """(sig, node, n, cost, probe, index): each set skips as many of its most shared signatures as it may."""
     dear = F.row_number().over(Window.partitionBy("node", "down", "kind").orderBy(F.desc("cost"), "sig"))
     probe = (F.col("kind") == SPENT) | (F.col("kind") == EXACT) & (dear > F.col("spare"))
-    return x.select("sig", "node", "n", probe.alias("probe"), (F.col("down") == 0).alias("index"))
+    return met.select("sig", "node", "n", "cost", probe.alias("probe"), "index").where("probe or index")
+
+
+def cells(group: DataFrame, percent: int, cell_rows: int, small: int) -> DataFrame:
+    """The first turn's (a, b): all pairs of small cells, the star of each larger one, and the star of a hot signature's cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
+        held: list[tuple] = []
+
+        def fits(x: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            n, probe, index = x[3:6]
+            up = (n[i] >= n[j]) & probe[i] & index[j] | (n[j] >= n[i]) & probe[j] & index[i]
+            return up & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+
+        def pairs(rows: list[tuple], last: bool) -> Iterator[pa.RecordBatch]:
+            x = tuple(np.concatenate(c) for c in zip(*rows, strict=True))
+            new = np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])])
+            head = np.flatnonzero(new)
+            end = len(new) if last else int(head[-1])  # the last cell may go on in the next batch
+            held[:] = [] if last else [tuple(c[end:] for c in x)]
+            head = head[head < end]
+            size = np.diff(np.append(head, end))
+            top = np.repeat(head, size)
+            few = np.repeat(size <= small, size)
+            at = np.arange(end)
+            found = []
+            for d in range(1, small):
+                i = at[few & (at - top >= d)]
+                found.append((i - d, i))
+            i = at[~few & (at != top)]
+            found.append((top[i], i))
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            good = (x[2][a] != x[2][b]) & fits(x, a, b)
+            a, b = x[2][a[good]], x[2][b[good]]
+            first = np.flatnonzero(x[6][head] > cell_rows)  # cells of a hot signature
+            h = head[first]
+            columns, unknown = ["a", "b", "sig", "n", "probe", "index"], [pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *(pa.nulls(len(a), t) for t in unknown)], columns)
+            yield pa.RecordBatch.from_arrays([pa.array(x[2][h]), pa.nulls(len(h), pa.int64()), *(pa.array(x[k][h]) for k in (0, 3, 4, 5))], columns)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(c.to_numpy(zero_copy_only=False).astype(bool if pa.types.is_boolean(c.type) else np.int64) for c in batch.columns))
+                if sum(len(x[0]) for x in held) > 200_000:
+                    yield from pairs(list(held), False)
+        if held:
+            yield from pairs(list(held), True)
+
+    return group.mapInArrow(run, "a long, b long, sig long, n long, probe boolean, index boolean")
+
+
+def hub_pairs(heads: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the first rows of a hot signature's cells, each with the least of them."""
+    hub = heads.groupBy("sig").agg(F.min(F.struct("a", "n", "probe", "index")).alias("hub"))
+    both = heads.join(hub, "sig").where("a <> hub.a")
+    up = (F.col("n") >= F.col("hub.n")) & F.col("probe") & F.col("hub.index") | (F.col("n") <= F.col("hub.n")) & F.col("hub.probe") & F.col("index")
+    return both.where(up & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))).select(F.col("hub.a").alias("a"), F.col("a").alias("b"))
 
 
 def components(edges: DataFrame, uri: str, name: str) -> DataFrame:
@@ -169,6 +251,8 @@ def components(edges: DataFrame, uri: str, name: str) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("components did not converge")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
@@ -197,11 +281,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
-                    part_rows: int = 300_000, broadcast_ids: int = 2_000_000, pivots: int = 8) -> DataFrame:
+                    part_rows: int = 300_000, broadcast_ids: int = 2_000_000, pivots: int = 8, cell_rows: int = 4096, small: int = 8, bands: Bands | None = None) -> DataFrame:
     """id, n_shingles, component_id (smallest id of the rows connected by links) for each row."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    uri, bands = shared_dir(spark), Bands(percent)
+    uri, bands = shared_dir(spark), bands or Bands(percent)
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +348,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if kept:
             yield from flush()
 
+    met_names = ["sig", "node", "n", "kind", "down", "spare", "cost", "index"]
+    met_kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int8(), pa.int32(), pa.int64(), pa.bool_()]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
@@ -273,17 +360,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sig, node, n, mark = sig[order], node[order], n[order], mark[order]
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (mark[1:] != mark[:-1])])
             sig, node, n, mark = sig[new], node[new], n[new], mark[new]
-            head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            last = np.append(head[1:], len(sig)) - 1
-            keep = np.flatnonzero(np.repeat(node[head] != node[last], last - head + 1))  # two sets or more
+            asks, asked, cost = partnered(sig, n, mark, percent)
+            keep = np.flatnonzero(asks | asked)
             for k in range(0, len(keep), 100_000):
                 x = keep[k : k + 100_000]
-                yield pa.RecordBatch.from_pydict({"sig": pa.array(sig[x].view(np.int64)), "node": pa.array(node[x]), "n": pa.array(n[x].astype(np.int64)), "mark": pa.array(mark[x].astype(np.int64))})
+                kind = np.where(asks[x], mark[x] & 3, INDEX)
+                values = (sig[x].view(np.int64), node[x], n[x].astype(np.int32), kind.astype(np.int8), (mark[x] >> 2 & 63).astype(np.int8), np.where(kind == EXACT, mark[x] >> 8, 0).astype(np.int32), cost[x], asked[x])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, met_kinds, strict=True)], met_names)
 
         for batch in batches:
             for part, sig, who, mark, node, n, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if short is not None:
-                    yield pa.RecordBatch.from_pydict({"sig": pa.array([None], pa.int64()), "node": pa.array([short], pa.int64()), "n": pa.array([0], pa.int64()), "mark": pa.array([0], pa.int64())})
+                    yield pa.RecordBatch.from_arrays([pa.array([short if c == "node" else None], t) for c, t in zip(met_names, met_kinds, strict=True)], met_names)
                     continue
                 if part != at and held:
                     yield from groups()
@@ -295,44 +383,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield from groups()
 
     packed = own.mapInArrow(sign, "part int, sig binary, who binary, mark binary, node binary, n binary, short long")
-    met = settle(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "sig long, node long, n long, mark long"), uri, "met")
+    met = settle(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "sig long, node long, n int, kind byte, down byte, spare int, cost long, index boolean"), uri, "met")
     names = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"))
-    short = [r["node"] for r in met.where("sig is null").select("node").distinct().limit(100_001).collect()] if met.where("sig is null").limit(1).count() else []
-    links = _direct(own, set(short), size, percent, met, uri) if short else None
+    short = met.where("sig is null").select("node").distinct()
+    extra = None if met.where("sig is null").isEmpty() else settle(_least_elements(own, short, size, percent), uri, "short")
 
     group = settle(allocated(met.where("sig is not null")), uri, "allocated")
-    probed = group.groupBy("sig").agg(F.max("probe").alias("any")).where("any").select("sig")
-    group = settle(group.join(probed, "sig", "left_semi"), uri, "probed")
-    needed = group.select("node").distinct().join(names, "node").select("node", "first")
-    texts = settle(_texts(own, needed, size, broadcast_ids, uri), uri, "texts")
+    discard(spark, f"{uri}/met")
+    cell = F.when(F.col("cost") > cell_rows, F.pmod(F.xxhash64("node"), F.ceil(F.col("cost") / cell_rows))).otherwise(F.lit(0).cast("long"))
+    whole = group.withColumn("cell", cell)
+    placed = whole.select("sig", "cell", "node", "n", "probe", "index", "cost").repartition("sig", "cell").sortWithinPartitions("sig", "cell", "node")
+    found = settle(cells(placed, percent, cell_rows, small), uri, "cells")
+    pairs = found.where("b is not null").select("a", "b").union(hub_pairs(found.where("sig is not null"), percent))
+    pairs = settle((pairs if extra is None else pairs.union(extra)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), uri, "met-pairs")
+    discard(spark, f"{uri}/cells")
+    probed = group.where("probe").select("sig").distinct()
+    wide = group.where(F.col("cost") > small).join(probed, "sig", "left_semi")  # what the first turn leaves open
+    group = settle(wide, uri, "probed")
+    discard(spark, f"{uri}/allocated")
+    in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(group.select("node")).distinct()
+    texts = settle(_texts(own, in_pairs.join(names, "node").select("node", "first"), size, broadcast_ids, uri), uri, "texts")
     words_ = [f"b{k}" for k in range(SKETCH)]
-    bits = texts.select("node", *[F.col("bits")[k].alias(w) for k, w in enumerate(words_)])
+    bits = texts.select("node", "n", *[F.col("bits")[k].alias(w) for k, w in enumerate(words_)])
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"p{w}"))) for w in words_), F.lit(0))
     close = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("na"))
-    tried, take, labels = None, 1, None
-    for turn in range(1_000):
-        ranked = group.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("node")))
-        if labels is None:
-            ranked = ranked.withColumn("label", F.col("node"))
-        ranked = settle(ranked, uri, f"ranked-{turn}")
-        pivot = ranked.where(F.col("rank") <= take).select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("probe").alias("pa"), F.col("index").alias("ia"), F.col("rank").alias("ra"), F.col("label").alias("la"), *([F.col(w).alias(f"p{w}") for w in words_] if turn else []))
-        meets = F.when(F.col("n") >= F.col("na"), F.col("probe") & F.col("ia")).otherwise(False) | F.when(F.col("n") <= F.col("na"), F.col("pa") & F.col("index")).otherwise(False)
-        fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & meets & (F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la"))
-        pairs = ranked.join(pivot, "sig").where(fits & close if turn else fits).select("a", F.col("node").alias("b")).distinct()
-        pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), uri, f"pairs-{turn}")
-        tried = pairs if tried is None else tried.union(pairs)
+    of_a = bits.select(F.col("node").alias("a"), F.col("n").alias("na"), *(F.col(w).alias(f"p{w}") for w in words_))
+    pairs = settle(pairs.join(of_a, "a").join(bits.withColumnRenamed("node", "b"), "b").where(close).select("a", "b"), uri, "pairs-0")
+    discard(spark, f"{uri}/met-pairs")
+    tried, take, labels, turn = pairs, 1, None, 0
+    while True:
         new = None if pairs.isEmpty() else settle(_verify(pairs, texts, size, percent), uri, f"edges-{turn}")
         if new is not None and not new.isEmpty() or labels is None:
-            linked = [e for e in (links if turn == 0 else labels.select(F.col("node").alias("a"), F.col("label").alias("b")), new) if e is not None]
+            linked = [e for e in (None if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")), new) if e is not None]
             labels = settle(components(reduce(DataFrame.union, linked) if linked else spark.createDataFrame([], "a long, b long"), uri, f"star-{turn}"), uri, f"labels-{turn}")
-        left = ranked.where(F.col("rank") > take).drop("rank", "label").join(labels.withColumnRenamed("label", "l"), "node", "left").select("sig", "node", "n", "probe", "index", F.coalesce("l", "node").alias("label"), *(words_ if turn else []))
+        left = group.where(F.col("cost") > take).drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_ = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("probe").alias("any")).where("lo <> hi and any").select("sig")
         still = left.join(open_, "sig", "left_semi")
-        group = settle(still if turn else still.join(bits, "node"), uri, f"group-{turn}")
-        discard(spark, f"{uri}/ranked-{turn}")
+        before, group = f"{uri}/group-{turn - 1}" if turn else f"{uri}/probed", settle(still if turn else still.join(bits.drop("n"), "node"), uri, f"group-{turn}")
+        discard(spark, before)
         if group.isEmpty():
             break
-        take = take * pivots
+        take, turn = take * pivots, turn + 1
+        share = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) * F.col("cost") < take * (1 << 30)  # about `take` rows of a signature
+        pivot = group.where(share).select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("probe").alias("pa"), F.col("index").alias("ia"), F.col("label").alias("la"), *(F.col(w).alias(f"p{w}") for w in words_))
+        meets = F.when(F.col("n") >= F.col("na"), F.col("probe") & F.col("ia")).otherwise(False) | F.when(F.col("n") <= F.col("na"), F.col("pa") & F.col("index")).otherwise(False)
+        fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & meets & (F.col("label") != F.col("la"))
+        pairs = group.join(pivot, "sig").where(fits & close).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), uri, f"pairs-{turn}")
+        tried = tried.union(pairs)
     named = labels.join(names, "node").groupBy("label").agg(F.min("first").alias("component"))
     linked = settle(labels.join(named, "label").select("node", "component"), uri, "components")
     alone = names.join(linked, "node", "left").select("node", F.coalesce("component", "first").alias("component"))
@@ -367,49 +465,29 @@ def _texts(own: DataFrame, needed: DataFrame, size: int, broadcast_ids: int, uri
                 bound, s = step_sets(data, at[lo : hi + 1], size)
                 nodes = [node_of(s[a:b]) if b > a else None for a, b in zip(bound[:-1], bound[1:], strict=True)]
                 bits = pa.FixedSizeListArray.from_arrays(pa.array(sketches(bound, s).view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(1).slice(lo, hi - lo), bits], ["node", "text", "bits"])
-
-    named = some.mapInArrow(name, "node long, text string, bits array<long>").where("node is not null")
-    return named.groupBy("node").agg(F.min("text").alias("text"), F.first("bits").alias("bits")).join(needed.select("node"), "node", "left_semi")
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.diff(bound), pa.int64()), batch.column(1).slice(lo, hi - lo), bits], ["node", "n", "text", "bits"])
 
+    named = some.mapInArrow(name, "node long, n long, text string, bits array<long>").where("node is not null")
+    return named.groupBy("node").agg(F.min("text").alias("text"), F.first("n").alias("n"), F.first("bits").alias("bits")).join(needed.select("node"), "node", "left_semi")
 
-def _direct(own: DataFrame, short: set[int], size: int, percent: int, met: DataFrame, uri: str) -> DataFrame:
-    """Links of the nodes that no allocation covers: blocks of them against every document."""
-    spark = own.sparkSession
-    out, block, todo = None, 500, sorted(short)
-    if len(todo) > 100_000:
-        raise ValueError("more uncovered sets than one driver list may hold; raise the band's deletion segments")
-    for k in range(0, len(todo), block):
-        wanted = set(todo[k : k + block])
-
-        def sets(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, at = buffers(batch.column(1))
-                for lo, hi in steps(at):
-                    bound, s = step_sets(data, at[lo : hi + 1], size)
-                    for a, b in zip(bound[:-1], bound[1:], strict=True):
-                        if b > a and (x := node_of(s[a:b])) in wanted:
-                            yield pa.RecordBatch.from_pydict({"node": pa.array([x], pa.int64()), "s": [s[a:b].tobytes()]})
 
-        held = {r["node"]: np.frombuffer(r["s"], np.uint64) for r in own.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]).toLocalIterator()}
-        known = spark.sparkContext.broadcast(held)
+def _least_elements(own: DataFrame, short: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): the sets that no allocation covers, with every set of fitting size that shares one of the least elements of both."""
 
-        def compare(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, at = buffers(batch.column(1))
-                a_, b_ = [], []
-                for lo, hi in steps(at):
-                    bound, s = step_sets(data, at[lo : hi + 1], size)
-                    for a, b in zip(bound[:-1], bound[1:], strict=True):
-                        mine = s[a:b]
-                        for node, other in known.value.items() if b > a else ():
-                            if 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)):
-                                shared = len(np.intersect1d(mine, other, assume_unique=True))
-                                if 100 * shared >= percent * (len(mine) + len(other) - shared) and (x := node_of(mine)) != node:
-                                    a_.append(x)
-                                    b_.append(node)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a_, pa.int64()), "b": pa.array(b_, pa.int64())})
-
-        found = settle(own.mapInArrow(compare, "a long, b long").distinct(), uri, f"direct-{k}")
-        out = found if out is None else out.union(found)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
+        for batch in batches:
+            data, at = buffers(batch.column(1))
+            for lo, hi in steps(at):
+                bound, s = step_sets(data, at[lo : hi + 1], size)
+                n = np.diff(bound)
+                few = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+                row = np.repeat(np.arange(hi - lo), few)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(few) - few, few) + bound[:-1][row]
+                nodes = np.array([node_of(s[a:b]) if b > a else 0 for a, b in zip(bound[:-1], bound[1:], strict=True)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[row]), pa.array(n[row]), pa.array(s[place].view(np.int64))], ["node", "n", "element"])
+
+    least = own.mapInArrow(run, "node long, n long, element long").distinct()
+    mine = least.join(short, "node", "left_semi").select(F.col("node").alias("a"), F.col("n").alias("na"), "element")
+    fits = (F.col("a") != F.col("node")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
+    return least.join(mine, "element").where(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()

@@ -268,11 +268,31 @@ def test_jaccard_join_against_brute_force(spark, docs, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
-def test_jaccard_join_other_ways(spark, monkeypatch):
+def test_jaccard_join_other_ways(spark):
     df = spark.createDataFrame(near_copies(), "doc_id long, text string")
     want = brute_components(pairs(df))
-    got = jaccard_join.near_duplicates(df, broadcast_ids=0, part_rows=50).collect()
-    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+    for options in ({"broadcast_ids": 0, "part_rows": 50}, {"cell_rows": 3, "small": 2, "pivots": 2}, {"bands": UNCOVERED}):
+        got = jaccard_join.near_duplicates(df, **options).collect()
+        assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+
+
+#: Few segments without one-deletion neighbours: many sets have no covering allocation.
+UNCOVERED = jaccard_join.Bands(all_to=0, some=0, share=0.3)
+
+
+def test_uncovered_sets_occur_and_partners_fit():
+    bound, s = jaccard_join.step_sets(np.frombuffer(prose(100, 60).encode(), np.uint8), np.array([0, len(prose(100, 60).encode())]), 5)
+    assert jaccard_join.signatures(bound, s, UNCOVERED)[3].all() and not jaccard_join.signatures(bound, s, jaccard_join.Bands())[3].any()
+    rng = np.random.default_rng(3)
+    sig = np.sort(rng.integers(0, 60, 400)).astype(np.uint64)
+    n = rng.integers(1, 60, 400).astype(np.uint32)
+    mark = (rng.integers(0, 2, 400) << 2 | rng.integers(0, 3, 400)).astype(np.uint32)
+    asks, asked, cost = jaccard_join.partnered(sig, n, mark, 80)
+    for i in range(400):
+        others = [j for j in range(400) if j != i and sig[j] == sig[i]]
+        assert asks[i] == (mark[i] & 3 > 0 and any(mark[j] >> 2 == 0 and 80 * int(n[i]) <= 100 * int(n[j]) <= 100 * int(n[i]) for j in others))
+        assert asked[i] == (mark[i] >> 2 == 0 and any(mark[j] & 3 > 0 and 80 * int(n[j]) <= 100 * int(n[i]) <= 100 * int(n[j]) for j in others))
+        assert cost[i] == sum(asks[j] or asked[j] for j in [*others, i])
 
 
 # ------------------------------------------------------------------ language model
