@@ -16,10 +16,10 @@ fitting smaller or equal size. Sets, not documents, are the nodes: copies collap
 The rows of a signature are dealt into cells of about `cell_rows` rows at most, so that a hot signature spreads over many tasks. In the first turn cells of
 `small` rows or fewer pair all their rows, larger ones pair each row with the cell's first (a star), and the first rows of a hot signature's cells
 meet the least of them. Verified links merge components; only signatures that still span several components take part in further turns, where
-pivots, chosen by hash and more each turn, meet all rows by a join until every row is one. There, and before any text is
-read, parity sketches (1024 buckets of the universe, one bit each: the parity of a set's elements there) refute pairs that differ in more than H bits: that
-count never exceeds the sets' true difference, so such a pair cannot link. No pair within a signature is lost: it is verified, its
-sketches refute it, or both ends are already connected. Verification compares the whole word 5-grams of both texts.
+pivots, chosen by hash and more each turn, meet the rows of their cell, and those of a hot signature a copy of theirs in every other cell, until every row is
+a pivot. There, and before any text is read, parity sketches (1024 buckets of the universe, one bit each: the parity of a set's elements there) refute
+pairs that differ in more than H bits: that count never exceeds the sets' true difference, so such a pair cannot link. No pair within a signature is lost: it
+is verified, its sketches refute it, or both ends are already connected. Verification compares the whole word 5-grams of both texts.
 
 Nodes are named by 64 bits of a BLAKE2 digest of their hashed set. Defined cases: A-Z fold; fewer words than `size` make one
 shingle of the whole sequence; a text without words is empty, linked with nothing, its own component; rows that
@@ -173,58 +173,85 @@ def partnered(sig: np.ndarray, n: np.ndarray, mark: np.ndarray, percent: int) ->
 
 def allocated(met: DataFrame) -> DataFrame:
     """(sig, node, n, cost, probe, index): each set skips as many of its most shared signatures as it may."""
-    dear = F.row_number().over(Window.partitionBy("node", "down", "kind").orderBy(F.desc("cost"), "sig"))
-    probe = (F.col("kind") == SPENT) | (F.col("kind") == EXACT) & (dear > F.col("spare"))
-    return met.select("sig", "node", "n", "cost", probe.alias("probe"), "index").where("probe or index")
+    kind, down = F.col("mark").bitwiseAND(3), F.shiftright("mark", 3).bitwiseAND(63)
+    dear = F.row_number().over(Window.partitionBy("node", kind, down).orderBy(F.desc("cost"), "sig"))
+    probe = (kind == SPENT) | (kind == EXACT) & (dear > F.shiftright("mark", 9))
+    return met.select("sig", "node", "n", "cost", probe.alias("probe"), (F.col("mark").bitwiseAND(4) != 0).alias("index")).where("probe or index")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns, first row of each cell) of whole cells, about `rows` rows at a time; batches are sorted by their first two columns, signature and cell."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False).astype(bool if pa.types.is_boolean(c.type) else np.int64) for c in batch.columns])
+            size += batch.num_rows
+        if size > rows:
+            x = [np.concatenate(c) for c in zip(*held, strict=True)]
+            head = np.flatnonzero(np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])]))
+            held, size = [[c[head[-1] :] for c in x]], len(x[0]) - int(head[-1])  # the last cell may go on in the next batch
+            if len(head) > 1:
+                yield [c[: head[-1]] for c in x], head[:-1]
+    if size:
+        x = [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield x, np.flatnonzero(np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])]))
+
+
+def _fit(n, probe, index, n2, probe2, index2, percent: int):
+    """Whether the larger set probes, the smaller is indexed, and their sizes allow a link."""
+    return ((n >= n2) & probe & index2 | (n2 >= n) & probe2 & index) & (100 * np.minimum(n, n2) >= percent * np.maximum(n, n2))
 
 
 def cells(group: DataFrame, percent: int, cell_rows: int, small: int) -> DataFrame:
-    """The first turn's (a, b): all pairs of small cells, the star of each larger one, and the star of a hot signature's cells."""
+    """The first turn: (a, b) of all pairs of small cells and of each larger one's star, and with b null the rows of cells that this leaves open."""
+    names, kinds = ["a", "b", "sig", "cell", "n", "probe", "index", "cost", "head"], [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
-        held: list[tuple] = []
-
-        def fits(x: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            n, probe, index = x[3:6]
-            up = (n[i] >= n[j]) & probe[i] & index[j] | (n[j] >= n[i]) & probe[j] & index[i]
-            return up & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-
-        def pairs(rows: list[tuple], last: bool) -> Iterator[pa.RecordBatch]:
-            x = tuple(np.concatenate(c) for c in zip(*rows, strict=True))
-            new = np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])])
-            head = np.flatnonzero(new)
-            end = len(new) if last else int(head[-1])  # the last cell may go on in the next batch
-            held[:] = [] if last else [tuple(c[end:] for c in x)]
-            head = head[head < end]
-            size = np.diff(np.append(head, end))
-            top = np.repeat(head, size)
-            few = np.repeat(size <= small, size)
-            at = np.arange(end)
-            found = []
-            for d in range(1, small):
-                i = at[few & (at - top >= d)]
-                found.append((i - d, i))
-            i = at[~few & (at != top)]
-            found.append((top[i], i))
-            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-            good = (x[2][a] != x[2][b]) & fits(x, a, b)
-            a, b = x[2][a[good]], x[2][b[good]]
-            first = np.flatnonzero(x[6][head] > cell_rows)  # cells of a hot signature
-            h = head[first]
-            columns, unknown = ["a", "b", "sig", "n", "probe", "index"], [pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *(pa.nulls(len(a), t) for t in unknown)], columns)
-            yield pa.RecordBatch.from_arrays([pa.array(x[2][h]), pa.nulls(len(h), pa.int64()), *(pa.array(x[k][h]) for k in (0, 3, 4, 5))], columns)
+        for (sig, cell, node, n, probe, index, cost), head in _by_cell(batches, 200_000):
+            size = np.diff(np.append(head, len(sig)))
+            top, few, at = np.repeat(head, size), np.repeat(size <= small, size), np.arange(len(sig))
+            rest = at[~few & (at != top)]
+            found = [(top[rest], rest)] + [(i - d, i) for d in range(1, small) for i in [at[few & (at - top >= d)]]]
+            i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+            good = (node[i] != node[j]) & _fit(n[i], probe[i], index[i], n[j], probe[j], index[j], percent)
+            a, b = node[i[good]], node[j[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *(pa.nulls(len(a), t) for t in kinds[2:])], names)
+            x = np.flatnonzero(np.repeat((size > small) & np.logical_or.reduceat(probe, head) | (cost[head] > cell_rows), size))
+            values = (node[x], None, sig[x], cell[x], n[x].astype(np.int32), probe[x], index[x], cost[x], (x == top[x]) & (cost[x] > cell_rows))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), t) if v is None else pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names)
+
+    return group.mapInArrow(run, "a long, b long, sig long, cell long, n int, probe boolean, index boolean, cost long, head boolean")
+
+
+def pivoted(group: DataFrame, take: int, percent: int, cell_rows: int) -> DataFrame:
+    """(a, b) of rows with about `take` pivots of their signature, where labels differ and the sketches don't refute the pair."""
+    chosen = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) * F.col("cost") < take * (1 << 30)
+    own = group.select("sig", "cell", "node", "n", "probe", "index", "label", chosen.alias("pivot"), F.lit(False).alias("copy"), *(f"b{k}" for k in range(SKETCH)))
+    hot = group.where(chosen & (F.col("cost") > cell_rows)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("cost") / cell_rows) - 1))).where("to <> cell")
+    copies = hot.select("sig", F.col("to").alias("cell"), "node", "n", "probe", "index", "label", F.lit(True).alias("pivot"), F.lit(True).alias("copy"), *(f"b{k}" for k in range(SKETCH)))
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(tuple(c.to_numpy(zero_copy_only=False).astype(bool if pa.types.is_boolean(c.type) else np.int64) for c in batch.columns))
-                if sum(len(x[0]) for x in held) > 200_000:
-                    yield from pairs(list(held), False)
-        if held:
-            yield from pairs(list(held), True)
-
-    return group.mapInArrow(run, "a long, b long, sig long, n long, probe boolean, index boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
+        for (_, _, node, n, probe, index, label, pivot, copied, *bits), head in _by_cell(batches, 20_000):
+            bits = np.stack(bits, 1).view(np.uint64)
+            for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(node)], strict=True):
+                j = lo + np.flatnonzero(~copied[lo:hi])
+                ps = lo + np.flatnonzero(pivot[lo:hi])
+                step = max(1, (1 << 18) // max(1, len(j)))
+                for k in range(0, len(ps), step):
+                    i = ps[k : k + step, None]
+                    x, y = np.nonzero((label[i] != label[j]) & _fit(n[i], probe[i], index[i], n[j], probe[j], index[j], percent))
+                    a, b = i[x, 0], j[y]
+                    for z in range(0, len(a), 1 << 16):
+                        a_, b_ = a[z : z + (1 << 16)], b[z : z + (1 << 16)]
+                        apart = np.bitwise_count(bits[a_] ^ bits[b_]).sum(1, dtype=np.int64)
+                        near = (100 + percent) * apart <= (100 - percent) * (n[a_] + n[b_])
+                        if near.any():
+                            one, two = node[a_[near]], node[b_[near]]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+
+    return own.union(copies).repartition("sig", "cell").sortWithinPartitions("sig", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def hub_pairs(heads: DataFrame, percent: int) -> DataFrame:
@@ -276,12 +303,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                     good.append(100 * shared >= percent * (len(kept) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    first = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-    return first.join(texts.select(F.col("node").alias("a"), F.col("text").alias("own")), "a").select("a", "b", "own", "other").mapInArrow(run, "a long, b long")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = texts.select("node", "text").join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    first = pairs.join(own.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+    return first.join(own.select(F.col("node").alias("a"), F.col("text").alias("own")), "a").select("a", "b", "own", "other").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
-                    part_rows: int = 300_000, broadcast_ids: int = 2_000_000, pivots: int = 8, cell_rows: int = 4096, small: int = 8, bands: Bands | None = None) -> DataFrame:
+                    part_rows: int = 300_000, broadcast_ids: int = 2_000_000, pivots: int = 64, cell_rows: int = 4096, small: int = 8, bands: Bands | None = None) -> DataFrame:
     """id, n_shingles, component_id (smallest id of the rows connected by links) for each row."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
@@ -348,8 +377,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if kept:
             yield from flush()
 
-    met_names = ["sig", "node", "n", "kind", "down", "spare", "cost", "index"]
-    met_kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int8(), pa.int32(), pa.int64(), pa.bool_()]
+    met_names, met_kinds = ["sig", "node", "n", "mark", "cost"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -365,7 +393,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for k in range(0, len(keep), 100_000):
                 x = keep[k : k + 100_000]
                 kind = np.where(asks[x], mark[x] & 3, INDEX)
-                values = (sig[x].view(np.int64), node[x], n[x].astype(np.int32), kind.astype(np.int8), (mark[x] >> 2 & 63).astype(np.int8), np.where(kind == EXACT, mark[x] >> 8, 0).astype(np.int32), cost[x], asked[x])
+                told = kind | asked[x].astype(np.int64) << 2 | (mark[x].astype(np.int64) >> 2 & 63) << 3 | np.where(kind == EXACT, mark[x] >> 8, 0).astype(np.int64) << 9
+                values = (sig[x].view(np.int64), node[x], n[x].astype(np.int32), told.astype(np.int32), cost[x])
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, met_kinds, strict=True)], met_names)
 
         for batch in batches:
@@ -383,7 +412,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield from groups()
 
     packed = own.mapInArrow(sign, "part int, sig binary, who binary, mark binary, node binary, n binary, short long")
-    met = settle(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "sig long, node long, n int, kind byte, down byte, spare int, cost long, index boolean"), uri, "met")
+    met = settle(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "sig long, node long, n int, mark int, cost long"), uri, "met")
     names = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"))
     short = met.where("sig is null").select("node").distinct()
     extra = None if met.where("sig is null").isEmpty() else settle(_least_elements(own, short, size, percent), uri, "short")
@@ -391,23 +420,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = settle(allocated(met.where("sig is not null")), uri, "allocated")
     discard(spark, f"{uri}/met")
     cell = F.when(F.col("cost") > cell_rows, F.pmod(F.xxhash64("node"), F.ceil(F.col("cost") / cell_rows))).otherwise(F.lit(0).cast("long"))
-    whole = group.withColumn("cell", cell)
-    placed = whole.select("sig", "cell", "node", "n", "probe", "index", "cost").repartition("sig", "cell").sortWithinPartitions("sig", "cell", "node")
+    placed = group.withColumn("cell", cell).select("sig", "cell", "node", "n", "probe", "index", "cost").repartition("sig", "cell").sortWithinPartitions("sig", "cell", "node")
     found = settle(cells(placed, percent, cell_rows, small), uri, "cells")
-    pairs = found.where("b is not null").select("a", "b").union(hub_pairs(found.where("sig is not null"), percent))
-    pairs = settle((pairs if extra is None else pairs.union(extra)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), uri, "met-pairs")
-    discard(spark, f"{uri}/cells")
-    probed = group.where("probe").select("sig").distinct()
-    wide = group.where(F.col("cost") > small).join(probed, "sig", "left_semi")  # what the first turn leaves open
-    group = settle(wide, uri, "probed")
     discard(spark, f"{uri}/allocated")
-    in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(group.select("node")).distinct()
-    texts = settle(_texts(own, in_pairs.join(names, "node").select("node", "first"), size, broadcast_ids, uri), uri, "texts")
+    heads = found.where("head").select("sig", "a", "n", "probe", "index")
+    pairs = found.where("b is not null").select("a", "b").union(hub_pairs(heads, percent))
+    pairs = settle((pairs if extra is None else pairs.union(extra)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), uri, "met-pairs")
+    group = found.where("b is null").withColumnRenamed("a", "node").drop("b", "head")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(group.select("node")).distinct()
+    texts = settle(_texts(own, needed.join(names, "node").select("node", "first"), size, broadcast_ids, uri), uri, "texts")
     words_ = [f"b{k}" for k in range(SKETCH)]
-    bits = texts.select("node", "n", *[F.col("bits")[k].alias(w) for k, w in enumerate(words_)])
+    bits = settle(texts.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "n", *[F.col("bits")[k].alias(w) for k, w in enumerate(words_)]), uri, "bits")
+    of_a = bits.select(F.col("node").alias("a"), F.col("n").alias("na"), *(F.col(w).alias(f"p{w}") for w in words_))
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"p{w}"))) for w in words_), F.lit(0))
     close = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("na"))
-    of_a = bits.select(F.col("node").alias("a"), F.col("n").alias("na"), *(F.col(w).alias(f"p{w}") for w in words_))
     pairs = settle(pairs.join(of_a, "a").join(bits.withColumnRenamed("node", "b"), "b").where(close).select("a", "b"), uri, "pairs-0")
     discard(spark, f"{uri}/met-pairs")
     tried, take, labels, turn = pairs, 1, None, 0
@@ -419,17 +445,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = group.where(F.col("cost") > take).drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_ = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("probe").alias("any")).where("lo <> hi and any").select("sig")
         still = left.join(open_, "sig", "left_semi")
-        before, group = f"{uri}/group-{turn - 1}" if turn else f"{uri}/probed", settle(still if turn else still.join(bits.drop("n"), "node"), uri, f"group-{turn}")
+        before, group = f"{uri}/group-{turn - 1}" if turn else f"{uri}/cells", settle(still if turn else still.join(bits.drop("n"), "node"), uri, f"group-{turn}")
         discard(spark, before)
         if group.isEmpty():
             break
         take, turn = take * pivots, turn + 1
-        share = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) * F.col("cost") < take * (1 << 30)  # about `take` rows of a signature
-        pivot = group.where(share).select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("probe").alias("pa"), F.col("index").alias("ia"), F.col("label").alias("la"), *(F.col(w).alias(f"p{w}") for w in words_))
-        meets = F.when(F.col("n") >= F.col("na"), F.col("probe") & F.col("ia")).otherwise(False) | F.when(F.col("n") <= F.col("na"), F.col("pa") & F.col("index")).otherwise(False)
-        fits = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & meets & (F.col("label") != F.col("la"))
-        pairs = group.join(pivot, "sig").where(fits & close).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), uri, f"pairs-{turn}")
+        pairs = settle(pivoted(group, take, percent, cell_rows).join(tried, ["a", "b"], "left_anti"), uri, f"pairs-{turn}")
         tried = tried.union(pairs)
     named = labels.join(names, "node").groupBy("label").agg(F.min("first").alias("component"))
     linked = settle(labels.join(named, "label").select("node", "component"), uri, "components")
@@ -441,7 +462,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _texts(own: DataFrame, needed: DataFrame, size: int, broadcast_ids: int, uri: str) -> DataFrame:
-    """node, text and sketch of one document of each needed node; its id travels as a broadcast up to a bound, else by a join."""
+    """node, size, text and sketch of the rows with the smallest id of each needed node; ids travel as a broadcast up to a bound, else by a join."""
     needed = settle(needed, uri, "needed")
     spark = own.sparkSession
     if needed.count() <= broadcast_ids:
@@ -455,7 +476,7 @@ def _texts(own: DataFrame, needed: DataFrame, size: int, broadcast_ids: int, uri
 
         some = own.mapInArrow(pick, "id long, text string")
     else:
-        some = own.join(needed.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+        some = own.join(needed.select("first").distinct(), F.col("id").eqNullSafe(F.col("first")), "left_semi")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
@@ -467,8 +488,7 @@ def _texts(own: DataFrame, needed: DataFrame, size: int, broadcast_ids: int, uri
                 bits = pa.FixedSizeListArray.from_arrays(pa.array(sketches(bound, s).view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.diff(bound), pa.int64()), batch.column(1).slice(lo, hi - lo), bits], ["node", "n", "text", "bits"])
 
-    named = some.mapInArrow(name, "node long, n long, text string, bits array<long>").where("node is not null")
-    return named.groupBy("node").agg(F.min("text").alias("text"), F.first("n").alias("n"), F.first("bits").alias("bits")).join(needed.select("node"), "node", "left_semi")
+    return some.mapInArrow(name, "node long, n long, text string, bits array<long>").where("node is not null")
 
 
 def _least_elements(own: DataFrame, short: DataFrame, size: int, percent: int) -> DataFrame:
