@@ -9,7 +9,7 @@ one-deletion neighbours, if exact ones don't suffice. By the pigeonhole principl
 that doesn't suffice, its least elements are joined with those of all sets (two sets that link share one of their
 (1-t) n + 1 least elements), at any number of such sets.
 
-Signatures travel as packed arrays, one block for each part and flush, and are grouped in vectorised reductions. Only rows go on that
+Signatures travel as packed arrays of 17 bytes a row, one block for each part and flush, and are grouped in vectorised reductions. Only rows go on that
 have a partner under their signature: an indexed row needs a probing one of a fitting larger or equal size, a probing row an indexed one of a
 fitting smaller or equal size. Sets, not documents, are the nodes: copies collapse to one node before anything is paired.
 
@@ -30,6 +30,7 @@ set, read whole, in a vectorised step of its own; only the id and the text are r
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -43,6 +44,10 @@ from .common import BLANK, buffers, discard, keep_only, mix64, rolled, settle, s
 
 INDEX, EXACT, SPENT = range(3)
 _SEG, _BAND, _WEIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
+#: Of a signature, the bits that travel within its part; equal ones by chance only cost a comparison.
+_NARROW = np.uint64((1 << 40) - 1)
+#: The most signatures that a mark lets a set skip, fewer than it may.
+_SPARE = (1 << 10) - 1
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 _BUCKET = np.uint64(0x589965CC75374CC3)
@@ -149,17 +154,17 @@ def signatures(bound: np.ndarray, s: np.ndarray, bands: Bands):
         spent = rank2 < missing[gr]
         group = np.repeat(np.arange(len(head)), size)
         near = (can if down == 0 else spent)[group]
-        out.append((mix64(total + salt), gr, (np.minimum(spare, 1 << 20)[gr] << 8 | down << 2 | EXACT).astype(np.uint32)))
-        out.append((mix64(total[group] - w + salt[group])[near], r[near], (down << 2 | np.where(spent[group][near], SPENT, INDEX)).astype(np.uint32)))
+        out.append((mix64(total + salt), gr, (np.minimum(spare, _SPARE)[gr] << 6 | down << 2 | EXACT).astype(np.uint16)))
+        out.append((mix64(total[group] - w + salt[group])[near], r[near], (down << 2 | np.where(spent[group][near], SPENT, INDEX)).astype(np.uint16)))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), short
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16), short
     return (*(np.concatenate(x) for x in zip(*out, strict=True)), short)
 
 
 def partnered(sig: np.ndarray, n: np.ndarray, mark: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(asks, asked, cost) of rows sorted by signature: whether a row may probe, or be probed by, one of fitting size; rows of its signature."""
     group = np.cumsum(np.concatenate([[0], sig[1:] != sig[:-1]])).astype(np.int64) if len(sig) else np.zeros(0, np.int64)
-    probe, index, n = mark & 3 != INDEX, mark >> 2 & 63 == 0, n.astype(np.int64)
+    probe, index, n = mark & 3 != INDEX, mark >> 2 & 15 == 0, n.astype(np.int64)
     key = group << 32 | n
     order = np.argsort(key, kind="stable")
     at = key[order]
@@ -173,9 +178,9 @@ def partnered(sig: np.ndarray, n: np.ndarray, mark: np.ndarray, percent: int) ->
 
 def allocated(met: DataFrame) -> DataFrame:
     """(sig, node, n, cost, probe, index): each set skips as many of its most shared signatures as it may."""
-    kind, down = F.col("mark").bitwiseAND(3), F.shiftright("mark", 3).bitwiseAND(63)
+    kind, down = F.col("mark").bitwiseAND(3), F.shiftright("mark", 3).bitwiseAND(15)
     dear = F.row_number().over(Window.partitionBy("node", kind, down).orderBy(F.desc("cost"), "sig"))
-    probe = (kind == SPENT) | (kind == EXACT) & (dear > F.shiftright("mark", 9))
+    probe = (kind == SPENT) | (kind == EXACT) & (dear > F.shiftright("mark", 7))
     return met.select("sig", "node", "n", "cost", probe.alias("probe"), (F.col("mark").bitwiseAND(4) != 0).alias("index")).where("probe or index")
 
 
@@ -297,8 +302,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 part = batch.slice(k, 64)
                 for a, one, two in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     if a != last:
-                        last, kept = a, shingle_set(one, size)
-                    other = shingle_set(two, size)
+                        last, kept = a, shingle_set(zlib.decompress(one).decode(), size)
+                    other = shingle_set(zlib.decompress(two).decode(), size)
                     shared = len(kept & other)
                     good.append(100 * shared >= percent * (len(kept) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
@@ -310,7 +315,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
-                    part_rows: int = 300_000, broadcast_ids: int = 2_000_000, pivots: int = 64, cell_rows: int = 4096, small: int = 8, bands: Bands | None = None) -> DataFrame:
+                    part_rows: int = 300_000, broadcast_ids: int = 2_000_000, pivots: int = 16, cell_rows: int = 4096, small: int = 8, bands: Bands | None = None) -> DataFrame:
     """id, n_shingles, component_id (smallest id of the rows connected by links) for each row."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
@@ -330,6 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(4, int(total * 0.45 / part_rows))
 
+    packed_names = ["part", "sig", "node", "n", "mark", "short"]
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
         seen: set[int] = set()
@@ -337,20 +344,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nodes = np.concatenate([k[0] for k in kept])
-            sizes = np.concatenate([k[1] for k in kept])
-            shift = np.cumsum([0, *(len(k[0]) for k in kept)])
-            sig = np.concatenate([k[2] for k in kept])
-            who = np.concatenate([k[3] + x for k, x in zip(kept, shift, strict=False)]).astype(np.uint32)
-            mark = np.concatenate([k[4] for k in kept])
+            sig, node, n, mark = (np.concatenate([k[c] for k in kept]) for c in range(4))
             part = (sig % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((who, part))
+            low = sig // np.uint64(parts) & _NARROW
+            order = np.lexsort((low, part))
             cut = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
+            for p in np.flatnonzero(np.diff(cut)).tolist():
                 mine = order[cut[p] : cut[p + 1]]
-                if len(mine):
-                    used, index = np.unique(who[mine], return_inverse=True)
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "sig": [sig[mine].tobytes()], "who": [index.astype(np.uint32).tobytes()], "mark": [mark[mine].tobytes()], "node": [nodes[used].tobytes()], "n": [sizes[used].astype(np.uint32).tobytes()], "short": pa.array([None], pa.int64())})
+                sizes = n[mine].astype(np.uint16 if n[mine].max() < 1 << 16 else np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (low[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], node[mine], sizes, mark[mine])), pa.nulls(1, pa.int64())], packed_names)
 
         for batch in batches:
             data, at = buffers(batch.column(1))
@@ -367,9 +369,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 s = np.concatenate([s[bound[k] : bound[k + 1]] for k in fresh])
                 count = np.diff(bound)[fresh]
                 sig, who, mark, short = signatures(np.concatenate([[0], np.cumsum(count)]), s, bands)
-                for k in np.flatnonzero(short).tolist():
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "sig": [None], "who": [None], "mark": [None], "node": [None], "n": [None], "short": pa.array([nodes[k]], pa.int64())}, schema=pa.schema([("part", pa.int32()), ("sig", pa.binary()), ("who", pa.binary()), ("mark", pa.binary()), ("node", pa.binary()), ("n", pa.binary()), ("short", pa.int64())]))
-                kept.append((np.array(nodes, np.int64), count, sig, who, mark))
+                if short.any():
+                    lone = pa.array([nodes[k] for k in np.flatnonzero(short).tolist()], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lone), -1, np.int32)), *(pa.nulls(len(lone), pa.binary()) for _ in range(4)), lone], packed_names)
+                kept.append((sig, np.array(nodes, np.int64)[who], count[who], mark))
                 held += len(sig)
                 if held >= 400_000:
                     yield from flush()
@@ -393,12 +396,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for k in range(0, len(keep), 100_000):
                 x = keep[k : k + 100_000]
                 kind = np.where(asks[x], mark[x] & 3, INDEX)
-                told = kind | asked[x].astype(np.int64) << 2 | (mark[x].astype(np.int64) >> 2 & 63) << 3 | np.where(kind == EXACT, mark[x] >> 8, 0).astype(np.int64) << 9
+                told = kind | asked[x].astype(np.int64) << 2 | (mark[x].astype(np.int64) >> 2 & 15) << 3 | np.where(kind == EXACT, mark[x] >> 6, 0).astype(np.int64) << 7
                 values = (sig[x].view(np.int64), node[x], n[x].astype(np.int32), told.astype(np.int32), cost[x])
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, met_kinds, strict=True)], met_names)
 
         for batch in batches:
-            for part, sig, who, mark, node, n, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, sig, node, n, mark, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if short is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([short if c == "node" else None], t) for c, t in zip(met_names, met_kinds, strict=True)], met_names)
                     continue
@@ -406,14 +409,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield from groups()
                     held = []
                 at = part
-                index = np.frombuffer(who, np.uint32)
-                held.append((np.frombuffer(sig, np.uint64), np.frombuffer(node, np.int64)[index], np.frombuffer(n, np.uint32)[index], np.frombuffer(mark, np.uint32)))
+                low = np.zeros((len(mark) // 2, 8), np.uint8)
+                low[:, :5] = np.frombuffer(sig, np.uint8).reshape(-1, 5)
+                held.append((low.view("<u8")[:, 0] * np.uint64(parts) + np.uint64(part), np.frombuffer(node, np.int64), np.frombuffer(n, np.uint16 if len(n) == len(mark) else np.uint32).astype(np.uint32), np.frombuffer(mark, np.uint16)))
         if held:
             yield from groups()
 
-    packed = own.mapInArrow(sign, "part int, sig binary, who binary, mark binary, node binary, n binary, short long")
+    packed = own.mapInArrow(sign, "part int, sig binary, node binary, n binary, mark binary, short long")
     met = settle(packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "sig long, node long, n int, mark int, cost long"), uri, "met")
-    names = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"))
+    names = settle(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first")), uri, "names")
     short = met.where("sig is null").select("node").distinct()
     extra = None if met.where("sig is null").isEmpty() else settle(_least_elements(own, short, size, percent), uri, "short")
 
@@ -462,7 +466,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _texts(own: DataFrame, needed: DataFrame, size: int, broadcast_ids: int, uri: str) -> DataFrame:
-    """node, size, text and sketch of the rows with the smallest id of each needed node; ids travel as a broadcast up to a bound, else by a join."""
+    """node, size, compressed text and sketch of the rows with the smallest id of each needed node; ids travel as a broadcast up to a bound, else by a join."""
     needed = settle(needed, uri, "needed")
     spark = own.sparkSession
     if needed.count() <= broadcast_ids:
@@ -486,9 +490,9 @@ def _texts(own: DataFrame, needed: DataFrame, size: int, broadcast_ids: int, uri
                 bound, s = step_sets(data, at[lo : hi + 1], size)
                 nodes = [node_of(s[a:b]) if b > a else None for a, b in zip(bound[:-1], bound[1:], strict=True)]
                 bits = pa.FixedSizeListArray.from_arrays(pa.array(sketches(bound, s).view(np.int64).ravel()), SKETCH).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.diff(bound), pa.int64()), batch.column(1).slice(lo, hi - lo), bits], ["node", "n", "text", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.diff(bound), pa.int64()), pa.array([zlib.compress(t.encode(), 1) for t in batch.column(1).slice(lo, hi - lo).to_pylist()], pa.binary()), bits], ["node", "n", "text", "bits"])
 
-    return some.mapInArrow(name, "node long, n long, text string, bits array<long>").where("node is not null")
+    return some.mapInArrow(name, "node long, n long, text binary, bits array<long>").where("node is not null")
 
 
 def _least_elements(own: DataFrame, short: DataFrame, size: int, percent: int) -> DataFrame:

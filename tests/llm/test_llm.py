@@ -286,7 +286,7 @@ def test_uncovered_sets_occur_and_partners_fit():
     rng = np.random.default_rng(3)
     sig = np.sort(rng.integers(0, 60, 400)).astype(np.uint64)
     n = rng.integers(1, 60, 400).astype(np.uint32)
-    mark = (rng.integers(0, 2, 400) << 2 | rng.integers(0, 3, 400)).astype(np.uint32)
+    mark = (rng.integers(0, 2, 400) << 2 | rng.integers(0, 3, 400)).astype(np.uint16)
     asks, asked, cost = jaccard_join.partnered(sig, n, mark, 80)
     for i in range(400):
         others = [j for j in range(400) if j != i and sig[j] == sig[i]]
