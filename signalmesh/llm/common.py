@@ -23,10 +23,12 @@ BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder URI below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (local tests) a temporary folder takes its place.
+    Only on a local master, where every task shares the driver's disk, a temporary folder takes the place of an absent setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='signalmesh-')}"
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"

@@ -4,11 +4,13 @@ Words are A-Z-folded runs of digits, ASCII letters and bytes above 0x7F. Every 1
 benchmark item are a window; a shorter item is one window of its own length. All windows of a document are hashed
 in vectorised steps, looked up in the sorted hash set, and each hit is verified word by word.
 
-The benchmark is read in blocks of at most `block_bytes` bytes of text, the bound of what is broadcast; a
-larger benchmark takes further passes over the documents, whose spans and items add up.
+The benchmark is read in blocks of at most `block_bytes` bytes as they are held: its words once, and 24 bytes for each word at most (hash, item and place of the
+window that begins there, bounds of the word). That is the bound of what is broadcast and of what each worker holds; a larger
+benchmark takes further passes over the documents, whose spans and items add up. A single item larger than that is a block of its own.
 
 Defined cases: null or empty texts have no words and no hits; items without words have no windows; items that
-repeat an id count once; repeated documents are judged row by row.
+repeat an id count once; repeated documents are judged row by row; windows that several items hold name all of them; a very long text is scanned
+whole, in a vectorised step of its own; a kept column whose name is taken comes back as keep_<name>.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import NOT_ALNUM, buffers, rolled, settle, shared_dir, steps, text_or_empty, words
 
 #: Columns of a scan; a kept column of such a name stays under keep_<name>.
-NAMES = ("id", "text", "n_words", "hits", "spans", "items")
+NAMES = ("id", "text", "n_words", "hits", "spans", "items", "n_hit", "n_items", "contaminated")
 _FOLD = bytes(32 if NOT_ALNUM[b] else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
 
 
@@ -35,25 +37,46 @@ def item_words(text: str | None) -> list[bytes]:
 
 @dataclass
 class WindowSet:
-    """Windows by length: sorted hashes, and for each hash its (words, item ids)."""
-
-    hashes: dict[int, np.ndarray]
-    windows: dict[tuple[int, int], list[tuple[bytes, set[str]]]]
+    """Windows by length: sorted hashes and, beside each, the item and the word where it begins. Words are kept once, folded, joined by blanks."""
+
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    names: list[str]
+    text: bytes
+    start: np.ndarray  # of each word in `text`
+    end: np.ndarray
+    first: np.ndarray  # number of each item's first word
+
+    def items_at(self, n: int, h: int, own: bytes) -> set[str]:
+        """The items that hold a window of n words, by its hash and words."""
+        hashes, item, word = self.windows[n]
+        lo, hi = np.searchsorted(hashes, np.array([h, h], np.uint64), "left")[0], np.searchsorted(hashes, np.uint64(h), "right")
+        out = set()
+        for i, w in zip(item[lo:hi].tolist(), word[lo:hi].tolist(), strict=True):
+            k = int(self.first[i]) + w
+            if self.names[i] not in out and self.text[self.start[k] : self.end[k + n - 1]] == own:
+                out.add(self.names[i])
+        return out
 
 
 def window_set(items: list[tuple[object, str | None]], size: int) -> WindowSet:
-    found: dict[tuple[int, int], dict[bytes, set[str]]] = {}
-    for item, text in items:
-        own = item_words(text)
-        if not own:
-            continue
-        joined = np.frombuffer(b" ".join(own), np.uint8)
-        _, _, _, h = words(joined, np.array([0, len(joined)]), NOT_ALNUM)
-        n = min(size, len(own))
-        for i, x in enumerate(rolled(h, n).tolist()):
-            found.setdefault((n, x), {}).setdefault(b" ".join(own[i : i + n]), set()).add("null" if item is None else str(item))
-    lengths = {n for n, _ in found}
-    return WindowSet({n: np.array(sorted(x for m, x in found if m == n), np.uint64) for n in lengths}, {k: list(v.items()) for k, v in found.items()})
+    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    texts = [b" ".join(item_words(t)) for _, t in items]
+    joined = np.frombuffer(b" ".join(texts), np.uint8)
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    at[-1] = len(joined)
+    start, end, row, h = words(joined, at, NOT_ALNUM)
+    first = np.searchsorted(row, np.arange(len(items) + 1))
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if b > a:
+            n = min(size, b - a)
+            x = rolled(h[a:b], n)
+            found.setdefault(n, []).append((x, np.full(len(x), i, np.int32), np.arange(len(x), dtype=np.int32)))
+    windows = {}
+    for n, parts in found.items():
+        hashes, item, word = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        windows[n] = hashes[order], item[order], word[order]
+    return WindowSet(windows, ["null" if i is None else str(i) for i, _ in items], joined.tobytes(), start.astype(np.int32), end.astype(np.int32), first[:-1].astype(np.int32))
 
 
 def _scan(data: np.ndarray, at: np.ndarray, model: WindowSet):
@@ -61,7 +84,8 @@ def _scan(data: np.ndarray, at: np.ndarray, model: WindowSet):
     start, end, row, h = words(data, at, NOT_ALNUM)
     covered = np.zeros(len(start) + 1, np.int64)
     items: dict[int, set[str]] = {}
-    for n, known in model.hashes.items():
+    told: dict[tuple[int, bytes], set[str]] = {}
+    for n, (known, _, _) in model.windows.items():
         seen = rolled(h, n)
         if not len(seen):
             continue
@@ -69,11 +93,12 @@ def _scan(data: np.ndarray, at: np.ndarray, model: WindowSet):
         hit = (known[place] == seen) & (row[: len(seen)] == row[n - 1 :])
         for i in np.flatnonzero(hit).tolist():
             own = b" ".join(data[at[0] + start[j] : at[0] + end[j]].tobytes().translate(_FOLD) for j in range(i, i + n))
-            for text, ids in model.windows[n, int(seen[i])]:
-                if text == own:
-                    covered[i] += 1
-                    covered[i + n] -= 1
-                    items.setdefault(int(row[i]), set()).update(ids)
+            if (n, own) not in told:
+                told[n, own] = model.items_at(n, int(seen[i]), own)
+            if told[n, own]:
+                covered[i] += 1
+                covered[i + n] -= 1
+                items.setdefault(int(row[i]), set()).update(told[n, own])
     return start, end, row, np.cumsum(covered[:-1]) > 0, items
 
 
@@ -117,11 +142,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     out, held, taken = source, 0, []
     for r in benchmark.select(F.col(item_col).alias("i"), F.col("text").alias("t")).toLocalIterator():
-        if taken and held + len(r["t"] or "") * 4 > block_bytes:
+        own = item_words(r["t"])
+        cost = sum(map(len, own)) + 25 * len(own)
+        if taken and held + cost > block_bytes:
             out = settle(out.mapInArrow(over(spark.sparkContext.broadcast(window_set(taken, size))), schema), shared_dir(spark), "block").select("id", "text", "hits", "items", *carried)
             held, taken = 0, []
         taken.append((r["i"], r["t"]))
-        held += len(r["t"] or "") * 4
+        held += cost
     out = out.mapInArrow(over(spark.sparkContext.broadcast(window_set(taken, size))), schema)
     return out.withColumnsRenamed({c: c.removeprefix("keep_") for c in carried if c.removeprefix("keep_") not in NAMES})
 

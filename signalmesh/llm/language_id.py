@@ -4,12 +4,14 @@ Bytes are embedded, convolved with filters of several widths, max-pooled over fi
 layer names the language. A text is cut into windows of `window` bytes that overlap by the widest filter less one,
 so that all of it is read; the text's scores are the length-weighted mean of its windows' log probabilities, renormalised.
 
-Training uses at most `sample_per_lang` labelled documents of each of at most `max_langs` languages (those with the smallest keyed
-hashes of their id) and at most `sample_bytes` bytes of each: documented bounds of the fitted sample, as is
-allowed for a classifier. Prediction reads every byte of every text.
+Training uses of each language the `sample_per_lang` labelled rows with the smallest hashes of id and text, fewer where there are so many languages that
+this would exceed `sample_rows` rows in all (one row of each at least): a documented bound on the labelled rows of the fitted sample. All windows of
+those rows' whole texts are learned from, and every language that has a row can be predicted. Prediction reads every byte of every text.
+The sample is drawn by a hash threshold for each language that follows from its count of distinct rows, so that only a little more than the sample is ever ranked; rows that repeat id and text are learned from once.
 
 Defined cases: a null text or one without a letter is `und` with score 0; null labels are not learned from; with no
-labelled row at all every text is `und`; ties go to the first language in sorted order.
+labelled row at all every text is `und`; ties go to the first language in sorted order; a very long text is read whole in windows; repeated rows are
+predicted alike, row by row; a kept column called lang_pred or score comes back as keep_<name>, any other under its own name.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import buffers, slices, small_batches, steps
 
@@ -75,15 +78,16 @@ def windows_of(data: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarra
 
 
 def fit(texts: list[bytes], langs: list[str], window: int = 256, dim: int = 8, each: int = 8, epochs: int = 6,
-        max_windows: int = 12_000, seed: int = 7) -> ByteConvNet:
+        seed: int = 7) -> ByteConvNet:
     """Train by Adam on cross entropy over the windows of labelled texts; the same input gives the same network."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     data = np.frombuffer(b"".join(texts), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     x, row, _ = windows_of(data, at, window)
-    y = np.array([names.index(v) for v in langs])[row] if len(row) else np.zeros(0, int)
-    order = rng.permutation(len(x))[:max_windows]
+    place = {v: k for k, v in enumerate(names)}
+    y = np.array([place[v] for v in langs])[row] if len(row) else np.zeros(0, int)
+    order = rng.permutation(len(x))
     x, y = x[order], y[order]
     shape = [(256, dim), *((w * dim, each) for w in WIDTHS), (each * len(WIDTHS), len(names))]
     p = [rng.normal(0, s, z).astype(np.float32) for s, z in zip([1.0, *(1 / np.sqrt(w * dim) for w in WIDTHS), 0.3], shape, strict=True)]
@@ -121,22 +125,26 @@ def fit(texts: list[bytes], langs: list[str], window: int = 256, dim: int = 8, e
     return ByteConvNet(names, p[0], p[1:4], p[5], p[4], p[6], window)
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_per_lang: int, max_langs: int, sample_bytes: int) -> list:
-    """The bounded labelled sample: of each language, the rows whose id has the smallest keyed hashes."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    narrow = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), key.alias("h"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
-    chosen = narrow.withColumn("r", rank).where(F.col("r") <= sample_per_lang).withColumn("langs", F.dense_rank().over(Window.orderBy("l"))).where(F.col("langs") <= max_langs).select("i").distinct()
-    text = F.substring(F.col(text_col).cast("binary"), 1, sample_bytes)
-    return labelled.join(F.broadcast(chosen), F.col(id_col) == F.col("i"), "left_semi").select(text.alias("t"), F.col(lang_col).alias("l"), key.alias("h")).orderBy("l", "h", "t").collect()
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_per_lang: int, sample_rows: int) -> list:
+    """The bounded labelled sample: of each language, the rows whose id and text have the smallest hashes, equal rows once."""
+    text = F.col(text_col).cast("string")
+    labelled = docs.where(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(text.cast("binary").alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col).cast("string"), text).alias("h"))
+    counts = labelled.groupBy("l").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).collect()  # a row for each language
+    if not counts:
+        return []
+    each = max(1, min(sample_per_lang, sample_rows // len(counts)))
+    most = each + 6 * int(each**0.5) + 12  # so many are expected below the threshold, `each` practically always
+    limits = [(r["l"], max(r["least"], min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, most / max(1, r["n"])))))) for r in counts]
+    near = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "l string, most long")), "l").where("h <= most").groupBy("l", "h").agg(F.min("t").alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    return near.withColumn("r", rank).where(F.col("r") <= each).select("t", "l", "h").orderBy("l", "h", "t").collect()
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             sample_per_lang: int = 400, max_langs: int = 256, sample_bytes: int = 16_384, keep: list[str] | None = None, **fitting) -> DataFrame:
+             sample_per_lang: int = 400, sample_rows: int = 100_000, keep: list[str] | None = None, **fitting) -> DataFrame:
     """The rows of `docs` (id, text and the columns named in `keep`) with lang_pred and score, learned from `train`."""
     small_batches(docs.sparkSession)
-    rows = training_rows(train, id_col, text_col, lang_col, sample_per_lang, max_langs, sample_bytes)
+    rows = training_rows(train, id_col, text_col, lang_col, sample_per_lang, sample_rows)
     net = docs.sparkSession.sparkContext.broadcast(fit([bytes(r["t"]) for r in rows], [r["l"] for r in rows], **fitting) if rows else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +170,12 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
             blank = np.array([v is not True for v in batch.column(1).to_pylist()], bool)
             pred = ["und" if b else v for v, b in zip(pred, blank, strict=True)]
             score = [0.0 if b else float(v) for v, b in zip(score, blank, strict=True)]
-            rest = [batch.column(batch.schema.names.index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k + 2) for k in range(len(kept))), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names)
 
     kept = list(dict.fromkeys([id_col, *(keep or [])]))
-    source = docs.select(text_col, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"), *(c for c in kept if c != text_col))
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept)
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    names = [*(f"keep_{k}" for k in range(len(kept))), "lang_pred", "score"]
+    text = F.col(text_col).cast("string")
+    source = docs.select(text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"), *(F.col(c).alias(n) for c, n in zip(kept, names, strict=False)))
+    schema = StructType(source.schema.fields[2:]).add("lang_pred", "string").add("score", "double")
+    told = source.mapInArrow(run, schema)
+    return told.select(*(F.col(n).alias(f"keep_{c}" if c in ("lang_pred", "score") else c) for c, n in zip(kept, names, strict=False)), "lang_pred", "score")

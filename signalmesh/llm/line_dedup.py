@@ -12,7 +12,8 @@ Filters hold `bits_per_line` bits a line up to `max_filter_bits` (a fixed bound
 they fill up, more keys shuffle, and the result stays the same.
 
 Defined cases: null or empty text is one empty line; a null id counts as the smallest id; rows that repeat an
-id are one document; short keys are never dropped; ties cannot occur as the largest id is unique.
+id are one document; short keys are never dropped; ties cannot occur as the largest id is unique; a very long text is one row, split whole in
+memory; a kept column whose name is taken comes back as keep_<name>.
 """
 
 from __future__ import annotations
@@ -102,8 +103,9 @@ def _suspected(keys: list[bytes], bits_of: np.ndarray) -> np.ndarray:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3,
                 bits_per_line: int = 16, max_filter_bits: int = 1 << 28, broadcast_keys: int = 500_000, keep: list[str] | None = None) -> DataFrame:
-    """id, text (kept lines joined by newline), n_lines, n_dropped and the columns named in `keep` for each row."""
+    """id, text (kept lines joined by newline), n_lines, n_dropped and the columns named in `keep` for each row; one whose name is taken comes back as keep_<name>."""
     spark = docs.sparkSession
+    taken = {id_col, text_col, "n_lines", "n_dropped"}
     small_batches(spark)
     low = -(2**63)
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep or []))
@@ -160,5 +162,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         drops = pairs.join(repeated, "digest").where(F.col("id") < F.col("keep")).groupBy("id").agg(F.collect_list("digest").alias("drops"))
         keyed = raw.withColumn("key", F.coalesce("id", F.lit(low)))
-        out = keyed.join(drops.withColumnRenamed("id", "key"), "key", "left").select("id", "text", *carried, "drops").mapInArrow(apply(None), schema)
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", *(F.col(c).alias(c.removeprefix("keep_")) for c in carried))
+        out = settle(keyed.join(drops.withColumnRenamed("id", "key"), "key", "left").select("id", "text", *carried, "drops").mapInArrow(apply(None), schema), shared_dir(spark), "lines")
+        discard(spark, uri)
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", *(F.col(c).alias(c if c.removeprefix("keep_") in taken else c.removeprefix("keep_")) for c in carried))

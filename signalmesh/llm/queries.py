@@ -78,10 +78,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import pipeline_query
-
     own = [op1_warc, op2_line_dedup, op3_token_records, op4_secret_scan, op5_fingerprint, op6_merge_dropout, op7_jaccard_join, op8_katz, op9_language_id, op10_decontaminate]
-    return {f.__name__: f for f in own} | pipeline_query.extra()
+    return {f.__name__: f for f in own}
 
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,6 +122,4 @@ from w left join c using (doc_id) left join t using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import pipeline_query
-
-    return {"op1_warc": OP1_SQL, "op2_line_dedup": OP2_SQL, "op10_decontaminate": OP10_SQL} | pipeline_query.extra_sql()
+    return {"op1_warc": OP1_SQL, "op2_line_dedup": OP2_SQL, "op10_decontaminate": OP10_SQL}

@@ -9,7 +9,9 @@ Kinds in order: assign, access, hex (the base kinds, each leftmost and without o
 matching), then github and npm tokens (the last six base-62 digits are the CRC-32 of the 30 before), and jwt (three
 base64url parts whose first decodes to a JSON object with `alg`).
 
-Defined cases: null and empty texts have no spans; spans of different kinds may overlap.
+Defined cases: null and empty texts have no spans; spans of different kinds may overlap, and those that start together are ordered by kind;
+a very long text is scanned whole, in memory of a few times its size; repeated rows and ids are scanned row by row; a null id stays
+null; only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ def _checked(m: re.Match) -> bool:
 def _is_jwt(m: re.Match) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(m[1] + b"=" * (-len(m[1]) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested beyond any token header
         return False
     return isinstance(head, dict) and "alg" in head
 

@@ -9,22 +9,26 @@ Documents are range-partitioned and sorted by id; each task writes a shard under
 folder. The manifest, settled as Parquet, names the shards that count, so retried tasks leave only unused
 files. Starts are a prefix sum over the manifest (a row for each shard) plus the record's place in its shard.
 
-Encoding: a text that has only single blanks and newlines between its words splits there exactly into the
-tokenizer's own pieces; each distinct piece is encoded once by the library, and kept in a bounded cache. Any other
-text goes to the library whole.
+Encoding is the library's own, special tokens in the text included. Under a byte-level tokenizer a text that has only single blanks and newlines
+between its words splits there exactly into the tokenizer's own pieces; each distinct piece of a batch is looked up in a bounded cache or encoded by the library,
+and the batch's ids are gathered in numpy. Any other text goes to the library whole.
 
-Defined cases: null and empty texts hold the end id only; null ids come first; rows that share an id are ordered by text.
+Defined cases: null and empty texts hold the end id only; null ids come first; rows that share an id are ordered by text; a very long text is one
+record, encoded whole; only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_store, settle, shared_dir, text_or_empty
+from .common import open_store, settle, shared_dir, small_batches, text_or_empty
 
-#: Pieces that one generation of a worker's cache holds; there are two generations of two caches.
-CACHE_PIECES = 250_000
+#: Pieces that one generation of a worker's cache holds; there are two generations.
+CACHE_PIECES = 400_000
 #: Marks that end a word in one piece of their own, if letters alone stand before.
 MARKS = frozenset(".,;:!?")
 MANIFEST = "shard long, path string, n_records long, n_tokens long"
@@ -63,86 +67,75 @@ def unframe(raw: bytes, at: int = 0) -> tuple[bytes, int]:
     return body, at + 16 + n
 
 
-def plain_lines(text: str) -> list[list[str]] | None:
-    """The blank-separated pieces of each line, or None where blanks are not single or other white space occurs."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
-        return None
-    lines = text.split("\n")
-    return [x.split(" ") for x in lines] if all(map(str.isprintable, lines)) else None
-
-
-class PieceCache:
-    """Ids of pieces behind a lead. A full generation replaces the one before, whose pieces return as they recur."""
-
-    def __init__(self, encode, lead: str) -> None:
-        self.encode, self.lead = encode, lead
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def learn(self, pieces: set[str], bare: PieceCache | None = None) -> None:
-        """Afterwards `now` holds every piece; `bare` knows pieces without a lead, as for a mark behind letters."""
-        if len(self.now) + len(pieces) > CACHE_PIECES:
-            self.before, self.now = self.now, {}
-        now, before = self.now, self.before
-        missing = []
-        for p in pieces - now.keys():
-            if (ids := before.get(p)) is None:
-                missing.append(p)
-            else:
-                now[p] = ids
-        words = {p[:-1] if p[-1] in MARKS and p[:-1].isalpha() else p for p in missing}
-        words -= now.keys()
-        todo = list(words)
-        for k in range(0, len(todo), 4096):
-            part = todo[k : k + 4096]
-            now.update(zip(part, self.encode([self.lead + p for p in part]), strict=True))
-        for p in missing:
-            if p not in now:
-                now[p] = now[p[:-1]] + (bare or self).mark(p[-1])
-
-    def mark(self, mark: str) -> bytes:
-        if mark not in self.now:
-            self.now[mark] = self.encode([mark])[0]
-        return self.now[mark]
+def is_plain(text: str) -> bool:
+    """Whether a text has only single blanks and newlines between its words, and no other white space or control."""
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n") and text.replace("\n", "").isprintable()
 
 
 class Encoder:
-    """Texts to packed ids, one library call for each distinct piece that is not cached."""
+    """Texts to packed ids. A full generation of cached pieces replaces the one before, whose pieces return as they recur."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.size = array(self.code).itemsize
-        self.first, self.later = PieceCache(self.ids, ""), PieceCache(self.ids, " ")
-        self.newline = self.ids(["\n"])[0]
+        told = json.loads(self.tokenizer.to_str())
+        before = told.get("pre_tokenizer") or {}
+        loose = any(t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.splits = not told.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not loose
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of distinct pieces, each with the blank or newline that leads it."""
+        if len(self.now) + len(pieces) > CACHE_PIECES:
+            self.before, self.now = self.now, {}
+        now, before = self.now, self.before
+        missing = []
+        for p in pieces:
+            if p not in now:
+                if (ids := before.get(p)) is None:
+                    missing.append(p)
+                else:
+                    now[p] = ids
+        cut = [p[-1] in MARKS and p[1:-1].isalpha() and (p[0].isalpha() or p[0] in " \n") for p in missing]
+        todo = list({x for p, c in zip(missing, cut, strict=True) for x in ((p[:-1], p[-1]) if c else (p,))} - now.keys())
+        for k in range(0, len(todo), 4096):
+            part = todo[k : k + 4096]
+            now.update(zip(part, self.ids(part), strict=True))
+        for p, c in zip(missing, cut, strict=True):
+            if c:
+                now[p] = now[p[:-1]] + now[p[-1]]
+        return [now[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if (lines := plain_lines(text)) is None:
-                out[i] = self.ids([text])[0]
-            else:
-                plain.append((i, [(line[0], line[1:]) for line in lines]))
-        heads, rest = set(), set()
-        for _, lines in plain:
-            for head, tail in lines:
-                heads.add(head)
-                rest.update(tail)
-        self.first.learn(heads)
-        self.later.learn(rest, self.first)
-        first, later = self.first.now.__getitem__, self.later.now.__getitem__
-        for i, lines in plain:
-            out[i] = self.newline.join([first(head) + b"".join(map(later, tail)) for head, tail in lines])
+        plain = [i for i, t in enumerate(texts) if t and self.splits and is_plain(t)]
+        other = [i for i in sorted(set(range(len(texts))) - set(plain)) if texts[i]]
+        for i in other:
+            out[i] = self.ids([texts[i]])[0]
+        if plain:
+            number: defaultdict[str, int] = defaultdict(count().__next__)
+            cut = "\1".join([texts[i] for i in plain]).replace(" ", "\1 ").replace("\n", "\1\n").split("\1")
+            own = np.fromiter(map(number.__getitem__, cut), np.int64, len(cut))
+            known = self.pieces(list(number))
+            pool = np.frombuffer(b"".join(known), self.code)
+            size = np.array([len(x) for x in known], np.int64) // self.size
+            start = np.cumsum(size) - size
+            n = size[own]
+            ends = np.cumsum(n)
+            ids = pool[np.repeat(start[own] - (ends - n), n) + np.arange(int(ends[-1]))]
+            last = np.cumsum([texts[i].count(" ") + texts[i].count("\n") + 1 for i in plain]) - 1
+            at = 0
+            for i, end in zip(plain, ends[last].tolist(), strict=True):
+                out[i] = ids[at:end].tobytes()
+                at = end
         return out
 
 
@@ -154,6 +147,7 @@ def encoder_of(path: str) -> Encoder:
 
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Write shards and indexes below a shared folder URI; returns the settled manifest."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     placed = own.repartitionByRange("id").sortWithinPartitions("id", "text")
 
@@ -168,8 +162,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
                 store.create_dir(base, recursive=True)
                 name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
                 file = store.open_output_stream(f"{base}/{name}.bin", compression=None)
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
                 for i, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     n = len(ids) // encoder.size

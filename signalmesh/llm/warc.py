@@ -8,11 +8,13 @@ file; the manifest, settled as Parquet, names the files that count.
 
 Reading: every member is checked (gzip CRC, version line, Content-Length, end marks, digests). After a failed check the
 reader searches for the next member or version line that passes all checks, resumes there, and reports the
-bytes between as a quarantined gap with the reason. Archives are read in windows of `CHUNK` bytes; memory is
-bounded by the largest single record.
+bytes between as a quarantined gap with the reason. A gzip member may hold several records; damage inside it loses only what
+lies up to its next valid version line. Digests are accepted in base32 or hexadecimal of either case; one that is neither fails the block's check, and is no
+claim about a payload. Archives are read in windows of `CHUNK` bytes; memory is bounded by the largest single record or member, at most `MAX_MEMBER`.
 
 Defined cases: a null payload is empty; a null URL is left out; rows that share the largest id of their payload are
-all responses; a null id counts as the smallest.
+all responses; a null id counts as the smallest; a very long payload is one record; only the id, the URL and the payload are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import open_store, settle, shared_dir
 
 CHUNK = 1 << 18
+#: Bytes that one gzip member may inflate to; a larger one is quarantined with that reason.
+MAX_MEMBER = 1 << 30
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 MANIFEST = "path string, n_records long, n_bytes long"
 RECORDS = "path string, start long, stop long, kind string, reason string, record_id string, record_type string, url string, payload binary, payload_bytes long, payload_digest string, refers_to string"
@@ -61,6 +65,20 @@ def member(raw: bytes, level: int = 1) -> bytes:
     return z.compress(raw) + z.flush()
 
 
+def digest_bytes(value: str | None) -> bytes | None:
+    """The SHA-1 that a digest header names, in base32 or hexadecimal of either case; None for another algorithm or no header; raises Damaged."""
+    if value is None or not value.lower().startswith("sha1:"):
+        return None
+    text = value[5:].strip()
+    try:
+        raw = bytes.fromhex(text) if len(text) == 40 else base64.b32decode(text.upper())
+    except ValueError:
+        raw = b""
+    if len(raw) != 20:
+        raise Damaged("digest header")
+    return raw
+
+
 class Damaged(Exception):
     """A check that failed, with its name."""
 
@@ -82,7 +100,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
     if size < 0 or raw[end : end + 4] != b"\r\n\r\n":
         raise Damaged("length")
     block = raw[stop + 4 : end]
-    if head.get("warc-block-digest", "sha1:").startswith("sha1:") and head.get("warc-block-digest", _sha1(block)) != _sha1(block):
+    if (told := digest_bytes(head.get("warc-block-digest"))) is not None and told != hashlib.sha1(block).digest():
         raise Damaged("block digest")
     return head, block, end + 4
 
@@ -103,30 +121,52 @@ class Source:
 
 
 def _member_at(source: Source, at: int) -> tuple[bytes, int]:
-    z, out, pos = zlib.decompressobj(31), [], at
+    z, out, pos, size = zlib.decompressobj(31), [], at, 0
     while not z.eof:
-        part = source.read(pos, CHUNK)
+        part = z.unconsumed_tail or source.read(pos, CHUNK)
         if not part:
             raise Damaged("truncated member")
+        fresh = not z.unconsumed_tail
         try:
-            got = z.decompress(part)
+            got = z.decompress(part, CHUNK)
         except zlib.error:
             raise Damaged("gzip member") from None
         if got and not out and not got.startswith(VERSION[: len(got)]):
             raise Damaged("version line")
         out.append(got)
-        pos += len(part) - len(z.unused_data)
-    return b"".join(out), pos
+        size += len(got)
+        if size > MAX_MEMBER:
+            raise Damaged("member too large")
+        pos += len(part) if fresh else 0
+    return b"".join(out), pos - len(z.unused_data)
+
+
+def _member_records(raw: bytes) -> list[tuple[str | None, dict[str, str], bytes]]:
+    """(reason, headers, block) of the records of a member's content; what lies between valid ones has a reason. Raises Damaged where none is valid."""
+    out, at, reason = [], 0, None
+    while at < len(raw):
+        try:
+            head, block, used = parse(raw[at:] if at else raw)
+        except Damaged as e:
+            first, reason = reason is None, str(e)
+            if first:
+                out.append((reason, {}, b""))
+            at = raw.find(VERSION, at + 1)
+            if at < 0:
+                break
+            continue
+        out.append((None, head, block))
+        at, reason = at + used, None
+    if all(r for r, _, _ in out):
+        raise Damaged(out[0][0] if out else "version line")
+    return out
 
 
-def _record_at(source: Source, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The checked record at an offset and where it stops; raises Damaged."""
+def _records_at(source: Source, at: int) -> tuple[list[tuple[str | None, dict[str, str], bytes]], int]:
+    """The checked records of the member, or the plain record, at an offset and where they stop; raises Damaged."""
     if source.read(at, 3) == GZIP:
         raw, stop = _member_at(source, at)
-        head, block, used = parse(raw)
-        if used != len(raw):
-            raise Damaged("length")
-        return head, block, stop
+        return _member_records(raw), stop
     n, raw = 8192, source.read(at, 8192)
     if not raw.startswith(VERSION):
         raise Damaged("version line")
@@ -139,7 +179,7 @@ def _record_at(source: Source, at: int) -> tuple[dict[str, str], bytes, int]:
     if at + stop + 8 + int(size[1]) > source.size:
         raise Damaged("truncated record")
     head, block, used = parse(source.read(at, stop + 8 + int(size[1])))
-    return head, block, at + used
+    return [(None, head, block)], at + used
 
 
 def _next_candidate(source: Source, at: int) -> int:
@@ -155,12 +195,13 @@ def _next_candidate(source: Source, at: int) -> int:
 
 
 def salvage(file, size: int) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
-    """(start, stop, reason, headers, block) of each record, and of each gap, which has a reason."""
+    """(start, stop, reason, headers, block) of each record, and of each gap, which has a reason; the records of one gzip member share its offsets."""
     source, at = Source(file, size), 0
     while at < size:
         try:
-            head, block, stop = _record_at(source, at)
-            yield at, stop, None, head, block
+            found, stop = _records_at(source, at)
+            for why, head, block in found:
+                yield at, stop, why, head, block
             at = stop
             continue
         except Damaged as e:
@@ -170,7 +211,7 @@ def salvage(file, size: int) -> Iterator[tuple[int, int, str | None, dict[str, s
             if at >= size:
                 break
             try:
-                _record_at(source, at)
+                _records_at(source, at)
                 break
             except Damaged:
                 pass
@@ -181,6 +222,14 @@ def _named(uri: str | None) -> str | None:
     return uri.strip("<>").removeprefix("urn:x-page:") if uri else None
 
 
+def claimed(digest: str | None) -> bytes | None:
+    """As `digest_bytes`; a header that holds no SHA-1 claims none, as the block's own checks have passed."""
+    try:
+        return digest_bytes(digest)
+    except Damaged:
+        return None
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """RECORDS rows of the archives whose `path` a frame names: kind `record`, or `gap` with its reason.
 
@@ -208,9 +257,9 @@ def read(manifest: DataFrame) -> DataFrame:
                             row["payload_bytes"] = len(payload)
                         if kind == "revisit":
                             payload = None
-                            row["payload_digest"] = base64.b32decode(digest[5:]).hex() if digest and digest.startswith("sha1:") else None
+                            row["payload_digest"] = told.hex() if (told := claimed(digest)) else None
                         else:
-                            if digest and digest.startswith("sha1:") and digest != _sha1(payload):
+                            if (told := claimed(digest)) is not None and told != hashlib.sha1(payload).digest():
                                 row |= {"kind": "gap", "reason": "payload digest", "payload_bytes": None}
                                 rows.append(row)
                                 continue
