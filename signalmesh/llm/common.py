@@ -64,12 +64,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+#: The C library's number of that setting.
+_MMAP_THRESHOLD = -3
 #: What clears the caches that this worker process keeps across tasks, by operator.
 _kept: dict[str, Callable[[], None]] = {}
 
 
 def keep_only(owner: str = "", clear: Callable[[], None] | None = None) -> None:
-    """At the start of a Python task: drop the caches of other operators, which the worker ran before, and return their memory."""
+    """At the start of a Python task: drop the caches of other operators, which the worker ran before, and return memory that earlier tasks freed."""
     others = [k for k in _kept if k != owner]
     for k in others:
         _kept.pop(k)()
@@ -77,11 +79,13 @@ def keep_only(owner: str = "", clear: Callable[[], None] | None = None) -> None:
         _kept[owner] = clear
     if others:
         gc.collect()  # models and their caches refer to each other
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # a C library without it
-            pass
+    pa.default_memory_pool().release_unused()
+    try:
+        c = ctypes.CDLL(None)
+        c.mallopt(_MMAP_THRESHOLD, 4 << 20)  # freed arrays of this size return to the system at once
+        c.malloc_trim(0)
+    except AttributeError:  # a C library without them
+        pass
 
 
 def text_or_empty(name: str = "text") -> Column:

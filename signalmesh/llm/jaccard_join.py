@@ -213,7 +213,7 @@ def cells(group: DataFrame, percent: int, cell_rows: int, small: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
-        for (sig, cell, node, n, probe, index, cost), head in _by_cell(batches, 200_000):
+        for (sig, cell, node, n, probe, index, cost), head in _by_cell(batches, 50_000):
             size = np.diff(np.append(head, len(sig)))
             top, few, at = np.repeat(head, size), np.repeat(size <= small, size), np.arange(len(sig))
             rest = at[~few & (at != top)]
@@ -296,6 +296,7 @@ def shingle_set(text: str, size: int) -> set[tuple[bytes, ...]]:
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, set()
+        keep_only()
         for batch in batches:
             good = []
             for k in range(0, batch.num_rows, 64):
@@ -384,6 +385,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+        keep_only()
 
         def groups() -> Iterator[pa.RecordBatch]:
             sig, node, n, mark = (np.concatenate(x) for x in zip(*held, strict=True))
