@@ -174,12 +174,13 @@ class SignalPanel:
         return replace(self, df=self.df.select(*KEYS, *names, "target"), features=names, reflected=tuple(c for c in self.reflected if c in names))
 
     def aligned(self) -> SignalPanel:
-        """Reflected where the first principal component points the other way; earlier reflections stay."""
-        from ..operators.clustering import orientation_flips
+        """Reflected where the first principal component points the other way, if that raises the coherence; earlier reflections stay."""
+        from ..operators.clustering import orientation_flips, orientation_is_artifact
 
-        flips = orientation_flips(self.moments().correlation(), self.features)
-        if not flips:
+        corr = self.moments().correlation()
+        if not orientation_is_artifact(corr):
             return self
+        flips = orientation_flips(corr, self.features)
         state = set(self.reflected) ^ set(flips)
         return replace(self, df=reflected(self.df, flips, self.features).persist(), reflected=tuple(c for c in self.features if c in state))
 

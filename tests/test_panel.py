@@ -187,3 +187,36 @@ def test_registered_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "ic_summary" in e.queries()
+
+
+def test_alignment_only_where_it_raises_the_coherence(panel, monkeypatch):
+    from signalmesh.operators import clustering
+
+    monkeypatch.setattr(clustering, "orientation_flips", lambda corr, names: list(names[:1]))
+    monkeypatch.setattr(clustering, "orientation_is_artifact", lambda corr: False)
+    assert panel.aligned() is panel
+    monkeypatch.setattr(clustering, "orientation_is_artifact", lambda corr: True)
+    assert panel.aligned().reflected != panel.reflected
+
+
+def test_spectral_hac_is_the_sum_over_lags():
+    from signalmesh.functions.numeric import newey_west
+
+    rng = np.random.default_rng(4)
+    for n in (8, 60, 300):
+        d = rng.normal(0.1, 1, (n, 5)).cumsum(0) * 0.1 + 0.3
+        for lags in (0, 5, 25):
+            assert multiplicity.hac_t_columns(d, lags) == pytest.approx([newey_west(d[:, k], min(lags, n - 1) if lags < n else lags)[1] for k in range(5)], rel=1e-8)
+    series, starts = rng.normal(size=(70, 3)), rng.integers(0, 70, (20, 4))
+    one = [max(abs(newey_west(series[[(s + k) % 70 for s in row for k in range(20)][:70], c], 9)[1]) for c in range(3)) for row in starts]
+    assert multiplicity.resampled_tops(series, starts, 20, 9) == pytest.approx(one, rel=1e-8)
+
+
+def test_notes_follow_the_facts():
+    from signalmesh.operators import diagnostics
+
+    facts = diagnostics.Facts(0.5, 2, (0.1, 0.4), True, 2, 1, 3, 0.7)
+    told = diagnostics.notes_of(facts)
+    assert [t.split()[0] for t in told] == ["One", "2", "A", "Estimators", "Selected:"] and "reflect them" in told[1]
+    facts.artifact, facts.best_k, facts.pc1, facts.heterogeneous = False, None, 0.4, 3
+    assert [t.split()[0] for t in diagnostics.notes_of(facts)] == ["Between", "2", "Blocks", "Selected:"] and "leave them" in diagnostics.notes_of(facts)[1]
