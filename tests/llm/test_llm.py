@@ -8,7 +8,8 @@ import math
 import re
 import zlib
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -295,40 +296,75 @@ def test_uncovered_sets_occur_and_partners_fit():
 
 
 # ------------------------------------------------------------------ language model
+def katz_by_hand(texts, order):
+    """P(w | words before) of a Katz model of the token lists, by plain recursion."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        padded = [*["<s>"] * (order - 1), *t]
+        for i, w in enumerate(t, order - 1):
+            for k in range(1, order + 1):
+                counts[k][(*padded[i - k + 1 : i], w)] += 1
+    d = [None, *(katz.discounts([Counter(c.values())[r] for r in range(1, 7)]) for c in counts[1:])]
+    keep = lambda c, k: c * d[k][c - 1] if 1 <= c <= 5 else c - katz.EPSILON if c else 0.0
+    after = [defaultdict(list) for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        for g in counts[k]:
+            after[k][g[:-1]].append(g)
+    kept = sum(keep(c, 1) for c in counts[1].values())
+    unknown = max(sum(counts[1].values()) - kept, 0.5)
+
+    @cache
+    def p(*g):
+        k = len(g)
+        if k == 1:
+            return (keep(counts[1][g], 1) if g in counts[1] else unknown) / (kept + unknown)
+        seen = after[k].get(g[:-1], [])
+        if not seen:
+            return p(*g[1:])
+        total = sum(counts[k][s] for s in seen)
+        if g in counts[k]:
+            return keep(counts[k][g], k) / total
+        return (1 - sum(keep(counts[k][s], k) for s in seen) / total) / (1 - sum(p(*s[1:]) for s in seen)) * p(*g[1:])
+
+    return p, counts[1]
+
+
 def test_katz_against_recursion(spark, docs, empty):
     rows = [(i, prose(200 + i % 37, 5 + 7 * i % 90)) for i in range(60)] + [(60, None), (61, "unheard words only"), (62, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     tok = {i: [*split(t or ""), None] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tok}
-    c1, c2, ch = Counter(), Counter(), Counter()
-    for i, t in tok.items():
-        if not held[i]:
-            c1.update(t)
-            for a, b in zip(["<s>", *t], t, strict=False):
-                c2[a, b] += 1
-                ch[a] += 1
-    n, v = sum(c1.values()), len(c1)
-    d1, d2 = (katz.discounts([Counter(c.values())[r] for r in range(1, 7)]) for c in (c1, c2))
-    keep = lambda c, d: c * d[c - 1] if 1 <= c <= 5 else c - katz.EPSILON if c else 0.0
-    unknown = max(n - sum(keep(c, d1) for c in c1.values()), 0.5)
-    mass = sum(keep(c, d1) for c in c1.values()) + unknown
-    p1 = lambda w: (keep(c1[w], d1) if w in c1 else unknown) / mass
-
-    def p(h, w):
-        if (h, w) in c2:
-            return keep(c2[h, w], d2) / ch[h]
-        if h not in ch:
-            return p1(w)
-        seen = [b for a, b in c2 if a == h]
-        return (1 - sum(keep(c2[h, b], d2) for b in seen) / ch[h]) / (1 - sum(map(p1, seen))) * p1(w)
-
-    for tokens in (4_000_000, 200):
-        for r in katz.score(df, queries.fold_of("doc_id", 10) == 0, part_tokens=tokens).collect():
+    train = [t for i, t in tok.items() if not held[i]]
+    for order, settings in ((2, {}), (2, {"part_tokens": 200, "cached": 20}), (3, {"part_tokens": 200, "cached": 10})):
+        p, c1 = katz_by_hand(train, order)
+        n, v = sum(c1.values()), len(c1)
+        log = lambda t: sum(math.log10(p(*[*["<s>"] * (order - 1), *t][i : i + order])) for i in range(len(t)))  # noqa: E731, B023
+        for r in katz.score(df, queries.fold_of("doc_id", 10) == 0, order=order, **settings).collect():
             t = tok[r["doc_id"]]
-            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(w in c1 for w in t), n)
-            assert r["base_score"] == pytest.approx(sum(math.log10((c1[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), abs=1e-7)
-            assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t, strict=False)), abs=1e-7)
-    assert sum(p("alpha", w) for w in c1) + p("alpha", "neverseen") == pytest.approx(1)
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum((w,) in c1 for w in t), n)
+            assert r["base_score"] == pytest.approx(sum(math.log10((c1[w,] + 0.1) / (n + 0.1 * (v + 1))) for w in t), abs=1e-7)
+            assert r["score"] == pytest.approx(log(t), abs=1e-7)
+        word = next(w for (w,) in c1 if w)
+        for h in (["<s>"] * (order - 1), [word] * (order - 1), ["never"] * (order - 1)):
+            assert sum(p(*h, *w) for w in c1) + p(*h, "neverseen") == pytest.approx(1)
+    with pytest.raises(ValueError):
+        katz.fit(df, order=4)
+
+
+def test_katz_scores_another_corpus_from_stored_tables(spark, tmp_path):
+    texts = [prose(300 + i % 11, 40) for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    katz.fit(df, order=3, part_tokens=300, cached=5, uri=f"file://{tmp_path}/model")
+    p, _ = katz_by_hand([[*split(t), None] for t in texts], 3)
+    other = [(1, prose(905, 60)), (None, texts[0]), (None, texts[0]), (7, "never heard of")]
+    named = spark.createDataFrame([(*r, 1.0, True) for r in other], "doc_id long, text string, score double, held_out boolean")
+    got = katz.Model.load(spark, f"file://{tmp_path}/model").score(named).collect()
+    want = sorted((str(i), sum(math.log10(p(*["<s>", "<s>", *split(t), None][j : j + 3])) for j in range(len(split(t)) + 1))) for i, t in other)
+    assert [i for i, _ in want] == [i for i, _ in sorted((str(r["doc_id"]), r["score"]) for r in got)]
+    assert [s for _, s in want] == pytest.approx([s for _, s in sorted((str(r["doc_id"]), r["score"]) for r in got)], abs=1e-7)
+
+
+def test_katz_awkward_rows(spark, docs, empty):
     assert katz.score(docs, queries.fold_of("doc_id", 10) == 0).count() == docs.count()
     assert katz.score(empty, F.lit(False)).count() == 0
 
