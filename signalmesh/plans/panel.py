@@ -153,7 +153,8 @@ class SignalPanel:
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             s = signals(pdf[cols].to_numpy(float))
-            scale = np.where(s == 0, 1, np.abs(s))
+            top = np.abs(s).max(0)  # digits count from the largest signal of the day, so that sums that cancel are ties
+            scale = np.where(top == 0, 1, top)
             digits = 10.0 ** (11 - np.floor(np.log10(scale)))
             return pd.DataFrame({"date": [pdf["date"].iloc[0]], "ic": [rank_ic(np.round(s * digits) / digits, pdf["target"].to_numpy(float))]})
 

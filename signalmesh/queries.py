@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import avg_rank, interpolated, r6, safe_corr
+from .functions.columns import avg_rank, interpolated, r6
 from .operators import cluster_methods, clustering, cv, ic, linear, multiplicity, shapes, shrinkage, trees
 from .operators.composite import DedupComposite
 from .operators.diagnostics import diagnose
@@ -42,109 +42,82 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in names})
 
 
-def mean_ics(df: DataFrame, days: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, feature, ic): mean daily IC, on the given days."""
-    daily = ic.feature_ic(df, FEATURES)
-    daily = daily if days is None else daily.join(F.broadcast(days.select(*by, "date")), "date")
-    return daily.groupBy(*by, "feature").agg(F.avg("ic").alias("ic"))
-
+def roles(df: DataFrame) -> DataFrame:
+    return cv.fold_roles(calendar(df), FOLDS, HORIZON, HORIZON)
 
-def plus_minus(c: str):
-    return F.when(F.round(c, 10) >= 0, 1.0).otherwise(-1.0)
 
+def pseudo_p(df: DataFrame) -> DataFrame:
+    return ic.hac(ic.feature_ic(df, FEATURES), by=["feature"]).select(F.col("feature").alias("id"), F.round(F.exp(-F.abs("t")), 8).alias("p"))
 
-def wide(weights: DataFrame, by: list[str]) -> DataFrame:
-    """(by, w1..w8) of (by, feature, w) rows."""
-    return weights.groupBy(*by).agg(*(F.max(F.when(F.col("feature") == f, F.col("w"))).alias(f"w{f[1:]}") for f in FEATURES))
 
+def number(x: float) -> float | None:
+    """Six digits; an undefined value is NULL."""
+    return None if np.isnan(x) else round(float(x), 6) + 0.0
 
-def combined(df: DataFrame) -> DataFrame:
-    total = F.col("w1") * F.col("f1")
-    for f in FEATURES[1:]:
-        total = total + F.col(f"w{f[1:]}") * F.col(f)
-    return df.withColumn("s", total)
 
+def of_panel(schema: str, rows: Callable) -> Callable:
+    """A query whose rows a library operator makes of the whole panel."""
+    return lambda spark, sf_dir: spark.createDataFrame([tuple(r) for r in rows(panel(spark, sf_dir))], schema)
 
-def roles(df: DataFrame) -> DataFrame:
-    return cv.fold_roles(calendar(df), FOLDS, HORIZON, HORIZON)
 
+SIMPLE = {m: linear.METHODS[m] for m in ("naive_averaged", "ic_weight")}
 
-def fold_moments(df: DataFrame) -> DataFrame:
-    """(fold, feature, n, mean, sd) over the training rows."""
-    train = roles(df).where("role = 'train'").select("fold", "date")
-    return ic.feature_long(df, FEATURES).join(F.broadcast(train), "date").groupBy("fold", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd"))
 
+def days_of(p: SignalPanel, ics: np.ndarray):
+    return zip(p.dates.tolist(), map(number, ics), strict=True)
 
-def naive_weights(df: DataFrame) -> DataFrame:
-    train = roles(df).where("role = 'train'")
-    return wide(mean_ics(df, train, ("fold",)).select("fold", "feature", (plus_minus("ic") / 8.0).alias("w")), ["fold"])
 
+def out_of_fold(method: str) -> Callable:
+    """(fold, date, ic) of the tested days of an out-of-fold run."""
 
-def ic_weights(df: DataFrame) -> DataFrame:
-    means = mean_ics(df, roles(df).where("role = 'train'"), ("fold",))
-    norm = F.sqrt(F.sum(F.col("ic") * F.col("ic")).over(Window.partitionBy("fold")))
-    sd = fold_moments(df).select("fold", "feature", "sd")
-    return wide(means.withColumn("u", F.col("ic") / norm).join(sd, ["fold", "feature"]).select("fold", "feature", (F.col("u") / F.col("sd")).alias("w")), ["fold"])
+    def rows(p: SignalPanel):
+        _, series = cv.oof_run(p, SIMPLE[method])
+        return [(f, int(p.dates[d]), number(series[d])) for f, _, test in p.folds() for d in np.flatnonzero(test)]
 
+    return of_panel("fold int, date long, ic double", rows)
 
-def out_of_fold(df: DataFrame, weights: DataFrame) -> DataFrame:
-    """(fold, date, ic): every test day scored with its fold's weights; days and weights are small and broadcast."""
-    test = roles(df).where("role = 'test'").select("fold", "date")
-    rows = df.join(F.broadcast(test), "date").join(F.broadcast(weights), "fold")
-    return ic.daily_ic(combined(rows), ["fold"])
 
-
-def effects(df: DataFrame) -> DataFrame:
-    """(feature, e, se): absolute mean IC and HAC error of each feature."""
-    return ic.hac(ic.feature_ic(df, FEATURES), by=["feature"]).select("feature", F.abs("mean").alias("e"), "se")
+def summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir)
+    _, series = cv.oof_run(p, SIMPLE["naive_averaged"])
+    rows = [(d, None if np.isnan(x) else float(x)) for d, x in zip(p.dates.tolist(), series, strict=True)]
+    return rounded(ic.summary(spark.createDataFrame(rows, "date long, ic double")), "mean_ic", "ic_ir", "nw_t", "hit_rate")
 
 
-def dl_columns(df: DataFrame) -> DataFrame:
-    """`effects` with the moment estimate tau2, all in SQL; one family, a row for each feature."""
-    w = Window.partitionBy(F.lit(0))
-    x = df.withColumn("w", 1 / (F.col("se") * F.col("se")))
-    x = x.withColumns({"sw": F.sum("w").over(w), "sw2": F.sum(F.col("w") * F.col("w")).over(w), "k": F.count(F.lit(1)).over(w)})
-    x = x.withColumn("mu", F.sum(F.col("w") * F.col("e")).over(w) / F.col("sw"))
-    x = x.withColumn("q", F.sum(F.col("w") * (F.col("e") - F.col("mu")) * (F.col("e") - F.col("mu"))).over(w))
-    return x.withColumn("tau2", F.greatest(F.lit(0.0), (F.col("q") - (F.col("k") - 1)) / (F.col("sw") - F.col("sw2") / F.col("sw")))).select("feature", "e", "se", "tau2")
+def fold_rows(p: SignalPanel):
+    for f, train, _ in p.folds():
+        m = p.moments(train)
+        yield from ((f, c, int(m.n), number(mean), number(sd)) for c, mean, sd in zip(p.features, m.mean, m.sd(), strict=False))
 
 
-def drawn(df: DataFrame, tau2) -> DataFrame:
-    w = Window.partitionBy(F.lit(0))
-    x = df.withColumn("t2", tau2).withColumn("w", 1 / (F.col("se") * F.col("se") + F.col("t2")))
-    x = x.withColumn("mu", F.sum(F.col("w") * F.col("e")).over(w) / F.sum("w").over(w))
-    return x.select("feature", r6(F.col("mu") + F.col("t2") / (F.col("t2") + F.col("se") * F.col("se")) * (F.col("e") - F.col("mu"))).alias("shrunk"))
+def pair_rows(p: SignalPanel):
+    c = p.moments().correlation()
+    return [(f"{a}_{b}", number(c[i, i + 1 + j])) for i, a in enumerate(p.features) for j, b in enumerate(p.features[i + 1 :])]
 
 
-def block_members(df: DataFrame) -> DataFrame:
-    """(feature, label, w): sign over block size."""
-    label = F.element_at(F.array(*map(F.lit, LABELS)), F.substring("feature", 2, 2).cast("int"))
-    x = mean_ics(df).select("feature", label.cast("bigint").alias("label"), plus_minus("ic").alias("sign"))
-    return x.select("feature", "label", (F.col("sign") / F.count(F.lit(1)).over(Window.partitionBy("label"))).alias("w"))
+def paired_rows(p: SignalPanel):
+    _, series = cv.cross_validate(p, SIMPLE)
+    return [(r["method"], number(r["ic_diff"]), number(r["nw_t"])) for r in cv.paired_against(series, "naive_averaged")]
 
 
-def block_ics(df: DataFrame) -> DataFrame:
-    """(label, date, ic) of the block signals on standardised features."""
-    sd = ic.feature_long(df, FEATURES).groupBy("feature").agg(F.stddev_pop("s").alias("sd"))
-    w = wide(block_members(df).join(sd, "feature").select("label", "feature", (F.col("w") / F.col("sd")).alias("w")), ["label"]).na.fill(0.0)
-    return ic.daily_ic(combined(df.crossJoin(F.broadcast(w))), ["label"])  # a weight row for each block
+def given_blocks(p: SignalPanel) -> cluster_methods.Blocks:
+    return cluster_methods.blocks(p, p.all_days, labels=LABELS)
 
 
-def cluster_eq_ic(df: DataFrame) -> DataFrame:
-    sd = ic.feature_long(df, FEATURES).groupBy("feature").agg(F.stddev_pop("s").alias("sd"))
-    side = block_ics(df).groupBy("label").agg(F.avg("ic").alias("ic")).select("label", (plus_minus("ic") / F.sqrt(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))).alias("b"))
-    w = block_members(df).join(side, "label").join(sd, "feature").select("feature", (F.col("w") * F.col("b") / F.col("sd")).alias("w"))
-    return ic.daily_ic(combined(df.crossJoin(F.broadcast(wide(w, [])))))  # one weight row
+def member_rows(p: SignalPanel):
+    w = given_blocks(p).members
+    return [(f, label, number(w[i, label - 1])) for i, (f, label) in enumerate(zip(p.features, LABELS, strict=True))]
 
 
-def cv_table(df: DataFrame) -> DataFrame:
-    parts = [out_of_fold(df, w).withColumn("method", F.lit(n)) for n, w in (("naive_averaged", naive_weights(df)), ("ic_weight", ic_weights(df)))]
-    folds = parts[0].unionByName(parts[1]).groupBy("method", "fold").agg(F.avg("ic").alias("m"))
-    return folds.groupBy("method").agg(r6(F.avg("m")).alias("cv_mean_ic"), r6(F.stddev_samp("m")).alias("cv_ic_std"), r6(F.min("m")).alias("worst_fold"))
+def side_rows(p: SignalPanel):
+    w = shrinkage.equal_block_weights(given_blocks(p).ic)
+    return [(k, float(np.sign(x))) for k, x in enumerate(w, 1)]
 
 
-def pseudo_p(df: DataFrame) -> DataFrame:
-    return ic.hac(ic.feature_ic(df, FEATURES), by=["feature"]).select(F.col("feature").alias("id"), F.round(F.exp(-F.abs("t")), 8).alias("p"))
+def effects(p: SignalPanel) -> tuple[np.ndarray, np.ndarray]:
+    """Absolute mean IC and HAC error of each feature."""
+    e, s = linear.feature_effects(p, p.all_days)
+    return np.abs(e), s
 
 
 CURVES = [[(i / 399) ** 2 - 0.3 * (i / 399) for i in range(400)], [np.cos(i / 50) for i in range(400)]]
@@ -247,8 +220,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rank_by_day": over(lambda df: df.select(*keys, avg_rank("f3", ["date"]).alias("f3_rank"))),
         "daily_rank_ic": one(lambda df: rounded(ic.daily_ic(df), "ic")),
         "feature_ic": over(lambda df: rounded(ic.feature_ic(df, FEATURES), "ic")),
-        "feature_ic_mean": over(lambda df: mean_ics(df).select("feature", r6("ic").alias("mean_ic"))),
-        "ic_summary": over(lambda df: rounded(ic.summary(out_of_fold(df, naive_weights(df)).select("date", "ic")), "mean_ic", "ic_ir", "nw_t", "hit_rate")),
+        "feature_ic_mean": of_panel("feature string, mean_ic double", lambda p: zip(p.features, map(number, p.mean_ic(p.all_days)), strict=True)),
+        "ic_summary": summary_query,
         "newey_west": over(lambda df: feature_hac(df).select("feature", "n", r6("mean").alias("mean"), r6("t").alias("t"))),
         "hac_se": over(lambda df: feature_hac(df).select("feature", r6("se").alias("se"))),
         "paired_newey_west": over(lambda df: ic.paired(feature_daily(df, "f3").select("date", "ic"), feature_daily(df, "f6")).select("n", r6("mean").alias("mean"), r6("t").alias("t"))),
@@ -263,21 +236,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quantile_bucket": one(lambda df: ic.quantile_bucket(df, 5)),
         "purged_kfold": over(roles),
         "inner_split": over(lambda df: cv.inner_roles(roles(df), HORIZON)),
-        "fold_moments": over(lambda df: rounded(fold_moments(df), "mean", "sd")),
-        "feature_correlation": over(lambda df: df.agg(*(safe_corr(a, b).alias(f"{a}_{b}") for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :])).unpivot([], [f"{a}_{b}" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]], "pair", "corr").select("pair", r6("corr").alias("corr"))),
-        "coherence": over(lambda df: df.agg(*(safe_corr(a, b).alias(f"{a}_{b}") for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :])).unpivot([], [f"{a}_{b}" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]], "pair", "corr").agg(r6(F.avg("corr")).alias("coherence"))),
-        "naive_averaged_full": over(lambda df: rounded(ic.daily_ic(combined(df.crossJoin(F.broadcast(wide(mean_ics(df).select("feature", (plus_minus("ic") / 8.0).alias("w")), []))))), "ic")),
-        "naive_averaged_oof": over(lambda df: rounded(out_of_fold(df, naive_weights(df)), "ic")),
-        "ic_weight_oof": over(lambda df: rounded(out_of_fold(df, ic_weights(df)), "ic")),
-        "cv_table_simple": over(cv_table),
-        "paired_against_simple": over(lambda df: ic.paired(out_of_fold(df, ic_weights(df)).select("date", "ic"), out_of_fold(df, naive_weights(df))).select(F.lit("ic_weight").alias("method"), r6("mean").alias("ic_diff"), r6("t").alias("nw_t"))),
-        "block_matrix": over(lambda df: rounded(block_members(df), "w")),
-        "block_signal": over(lambda df: ic.hac(block_ics(df), by=["label"]).select("label", r6("mean").alias("mean_ic"), r6("se").alias("se"))),
-        "cluster_eq_given_labels": over(lambda df: rounded(cluster_eq_ic(df), "ic")),
-        "tau2_dl": over(lambda df: dl_columns(effects(df)).agg(F.round(F.max("tau2"), 9).alias("tau2"))),
-        "dl_shrink": over(lambda df: drawn(dl_columns(effects(df)), F.col("tau2"))),
-        "shrink_with_tau2": over(lambda df: drawn(effects(df), F.lit(1e-4))),
-        "equal_block_weights": over(lambda df: block_ics(df).groupBy("label").agg(F.avg("ic").alias("ic")).select("label", plus_minus("ic").alias("w"))),
+        "fold_moments": of_panel("fold int, feature string, n long, mean double, sd double", fold_rows),
+        "feature_correlation": of_panel("pair string, corr double", pair_rows),
+        "coherence": of_panel("coherence double", lambda p: [(number(clustering.coherence(p.moments().correlation())),)]),
+        "naive_averaged_full": of_panel("date long, ic double", lambda p: days_of(p, p.ic_of(linear.naive_averaged(p, p.all_days))[:, 0])),
+        "naive_averaged_oof": out_of_fold("naive_averaged"),
+        "ic_weight_oof": out_of_fold("ic_weight"),
+        "cv_table_simple": of_panel("method string, cv_mean_ic double, cv_ic_std double, worst_fold double", lambda p: [(m, *map(number, x)) for m, *x in (r.values() for r in cv.cross_validate(p, SIMPLE)[0])]),
+        "paired_against_simple": of_panel("method string, ic_diff double, nw_t double", paired_rows),
+        "block_matrix": of_panel("feature string, label long, w double", member_rows),
+        "block_signal": of_panel("label long, mean_ic double, se double", lambda p: ((k, number(x), number(y)) for b in [given_blocks(p)] for k, (x, y) in enumerate(zip(b.ic, b.se, strict=True), 1))),
+        "cluster_eq_given_labels": of_panel("date long, ic double", lambda p: days_of(p, p.ic_of(cluster_methods.cluster_signal(p, p.all_days, labels=LABELS))[:, 0])),
+        "tau2_dl": of_panel("tau2 double", lambda p: [(round(shrinkage.tau2_dl(*effects(p)), 9),)]),
+        "dl_shrink": of_panel("feature string, shrunk double", lambda p: zip(p.features, map(number, shrinkage.dl_shrink(*effects(p))[0]), strict=True)),
+        "shrink_with_tau2": of_panel("feature string, shrunk double", lambda p: zip(p.features, map(number, shrinkage.shrink_with_tau2(*effects(p), 1e-4)), strict=True)),
+        "equal_block_weights": of_panel("label long, w double", side_rows),
         "holm": over(lambda df: rounded(multiplicity.adjusted(pseudo_p(df)).select("id", "p_holm"), "p_holm")),
         "benjamini_hochberg": over(lambda df: rounded(multiplicity.adjusted(pseudo_p(df)).select("id", "p_bh"), "p_bh")),
         "apply_shapes": over(lambda df: df.select(*keys, r6(interpolated(F.col("f1"), CURVES[0])).alias("x1"), r6(interpolated(F.col("f6"), CURVES[1])).alias("x6"))),
