@@ -12,13 +12,15 @@ from .operators import cluster_methods, linear
 from .operators.composite import DedupComposite
 from .operators.cv import cross_validate, paired_against
 from .operators.diagnostics import diagnose
+from .operators.gate import gate_decision
+from .operators.holdout import COLUMNS, frozen_arms, holdout_table
 from .operators.ic import scorecard
 from .plans.panel import SignalPanel
 from .session import session
 from .sources.panels import load_class, synthetic, write_csv
 
 QUICK = ("naive_averaged", "ic_weight", "pca_pc1", "uniqueness_reg", "eb_weight", "cluster_eq", "cluster_eb")
-SLOW = ("uniqueness_tuned", "ridge_tuned", "pls_tuned", "cluster_eq_tuned")
+SLOW = ("uniqueness_tuned", "ridge_tuned", "pls_tuned", "cluster_eq_tuned", "cluster_ic_tuned")
 
 
 def methods(slow: bool = False) -> dict:
@@ -57,17 +59,41 @@ def demo(spark: SparkSession, n_days: int = 500, n_names: int = 150, seed: int =
     return [*out, shown(rows), comp.describe(), *holdout_lines(test, comp)]
 
 
-def study(spark: SparkSession, data_dir: str, numbers: list[int], out: str) -> None:
-    """Comparison and paired tables of several classes as CSV, and a text summary."""
-    lines = []
+def grid(title: str, numbers: list[int], columns: list[dict[str, str]]) -> str:
+    """A Markdown table: a row for each name, a column for each class."""
+    table = [["", *(f"class {n}" for n in numbers)], ["---"] * (1 + len(numbers))]
+    table += [[name, *(c.get(name, "") for c in columns)] for name in dict.fromkeys(k for c in columns for k in c)]
+    return "\n".join([f"## {title}", "", *(f"| {' | '.join(r)} |" for r in table)])
+
+
+def study(spark: SparkSession, data_dir: str, numbers: list[int], out: str, tuned: bool = False, shapes: bool = False, skip_cv: bool = False) -> None:
+    """Report card, PLS sweep, comparison, paired and hold-out tables of several classes, and a summary of all.
+
+    Methods are frozen on the in-sample split and scored once on the out-of-sample one; `shapes` adds the gate and the shaped arms.
+    """
+    folder, facts, in_sample, held_out, gates = Path(out), [], [], [], []
+    folder.mkdir(parents=True, exist_ok=True)
     for n in numbers:
         panel = open_panel(spark, data_dir, n)
-        rows, series = cross_validate(panel, methods(True))
-        write_csv(spark.createDataFrame(rows), f"{out}/cv_c{n}")
-        write_csv(spark.createDataFrame(paired_against(series, "naive_averaged")), f"{out}/paired_c{n}")
-        lines += [f"## class {n}", diagnose(panel).render(), shown(rows)]
-    Path(out).mkdir(parents=True, exist_ok=True)
-    (Path(out) / "summary.md").write_text("\n\n".join(lines))
+        card = diagnose(panel)
+        (folder / f"diagnostics_c{n}.txt").write_text(card.render() + "\n")
+        write_csv(spark.createDataFrame(list(zip(card.pls_k, card.pls_oof_ic, strict=True)), "k int, oof_ic double"), f"{out}/pls_sweep_c{n}")
+        if not skip_cv:
+            rows, series = cross_validate(panel, methods(tuned))
+            write_csv(spark.createDataFrame(rows), f"{out}/cv_c{n}")
+            write_csv(spark.createDataFrame(paired_against(series, "naive_averaged")), f"{out}/paired_c{n}")
+            in_sample.append({r["method"]: f"{r['cv_mean_ic']:.4f}" for r in rows})
+        other = open_panel(spark, data_dir, n, ",".join(panel.reflected), "out_of_sample")
+        decision = gate_decision(panel) if shapes else None
+        held = holdout_table(frozen_arms(panel, decision), other).collect()
+        write_csv(spark.createDataFrame(held, "method string, n_days long, " + ", ".join(f"{c} double" for c in COLUMNS)).drop("n_days"), f"{out}/holdout_c{n}")
+        number = lambda x: "-" if x is None else f"{x:.4f}"
+        held_out.append({r["method"]: f"{number(r['mean_ic'])} (t {number(r['nw_t'])})" for r in held})
+        facts.append({"variants": str(card.n_features), "blocks": str(card.n_blocks), "first component": f"{card.pc1_share:.2f}", "in-sample days": str(panel.n_days), "hold-out days": str(other.n_days), "reflected": ", ".join(panel.reflected) or "none"})
+        gates += [f"## Gate of class {n}\n\n{decision}"] if decision else []
+        panel.df.unpersist(), other.df.unpersist()
+    tables = [("Classes", facts), ("Mean IC out of fold", in_sample), ("Mean IC on the hold-out, frozen in sample", held_out)]
+    (folder / "summary.md").write_text("\n\n".join([*(grid(title, numbers, t) for title, t in tables if t), *gates]) + "\n")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -88,13 +114,15 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--data-dir", required=True)
     s.add_argument("--out", required=True)
     s.add_argument("--classes", type=int, nargs="+", default=[1, 2, 3, 4])
+    for flag in ("--tuned", "--shapes", "--skip-cv"):
+        s.add_argument(flag, action="store_true")
     a = p.parse_args(argv)
     spark = session()
     if a.command == "demo":
         print("\n\n".join(demo(spark, a.n_days, a.n_names, a.seed)))
         return 0
     if a.command == "study":
-        study(spark, a.data_dir, a.classes, a.out)
+        study(spark, a.data_dir, a.classes, a.out, a.tuned, a.shapes, a.skip_cv)
         return 0
     panel = open_panel(spark, a.data_dir, a.feature_class, a.reflect)
     print(panel)

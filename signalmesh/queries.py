@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import avg_rank, interpolated, r6
-from .operators import cluster_methods, clustering, cv, ic, linear, multiplicity, shapes, shrinkage, trees
+from .operators import cluster_methods, clustering, cv, holdout, ic, linear, multiplicity, shapes, shrinkage, trees
 from .operators.composite import DedupComposite
 from .operators.diagnostics import diagnose
 from .operators.gate import gate_decision
@@ -185,6 +185,17 @@ def gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(d.adopt_shapes, float(d.oof_diff), float(d.oof_t), d.pass_a, d.pass_b)], "adopt_shapes boolean, oof_diff double, oof_t double, pass_a boolean, pass_b boolean")
 
 
+#: The first date behind the training days of the hold-out query.
+CUT = 110
+
+
+def holdout_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = supplier_panel(spark, sf_dir)
+    train, test = (SignalPanel.of(rows.where(days)) for days in (f"date < {CUT}", f"date >= {CUT + HORIZON}"))
+    table = holdout.holdout_table({m: holdout.vector_arm(train, fn) for m, fn in SIMPLE.items()}, test)
+    return rounded(table.select("method", "n_days", "mean_ic", "nw_t", "ic_ir_ann"), "mean_ic", "nw_t", "ic_ir_ann")
+
+
 def report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(line,) for line in diagnose(panel(spark, sf_dir)).render().split("\n")], "line string")
 
@@ -270,6 +281,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tree_signal": tree_query,
         "dedup_composite": composite_query,
         "shape_gate": gate_query,
+        "holdout_simple": holdout_query,
         "report_card": report_query,
         "synthetic_panel": lambda spark, d: synthetic(spark, 60, 20, (2, 1), horizon=5),
     }
@@ -333,6 +345,9 @@ _FOLDSD = "foldsd as (select fold, feature, count(*) as n, avg(s) as mean, stdde
 _NAIVE = f"nw as (select fold, {_WIDE} from (select fold, feature, ({_SIGN.format('ic')}) / 8.0e0 as w from foldic) group by 1), noof as materialized (select * from {_ic(f'(select fold, date, {_SUM} as s, target from panel join roles using (date) join nw using (fold) where role = ' + chr(39) + 'test' + chr(39) + ')', 'fold')})"
 _ICW = f"iw as (select fold, {_WIDE} from (select fold, feature, ic / sqrt(sum(ic * ic) over (partition by fold)) / sd as w from foldic join foldsd using (fold, feature)) group by 1), ioof as materialized (select * from {_ic(f'(select fold, date, {_SUM} as s, target from panel join roles using (date) join iw using (fold) where role = ' + chr(39) + 'test' + chr(39) + ')', 'fold')})"
 _OOF = f"{_FIC}, {_ROLES}, {_FOLDIC}, {_FOLDSD}, {_NAIVE}, {_ICW}"
+_HELD = f"""{_FIC}, tic as (select feature, avg(ic) as ic from fic where date < {CUT} group by 1), tsd as (select feature, stddev_pop(s) as sd from long where date < {CUT} group by 1),
+hw as (select 'naive_averaged' as method, {_WIDE} from (select feature, ({_SIGN.format('ic')}) / 8.0e0 as w from tic) union all select 'ic_weight', {_WIDE} from (select feature, ic / sqrt(sum(ic * ic) over ()) / sd as w from tic join tsd using (feature))),
+hic as materialized (select * from {_ic(f'(select method, date, {_SUM} as s, target from panel, hw where date >= {CUT + HORIZON})', 'method')})"""
 _LAGGED = "lagged as (select t.date, l.lag, s.s, t.target from f3 t, (select unnest(range(22)) as lag) l, f3 s where s.identifier = t.identifier and s.date = t.date - l.lag)"
 _LIC = f"{_F3}, {_LAGGED}, lic as materialized (select * from {_ic('lagged', 'lag')}), decay as (select lag::int as lag, avg(ic) as value from lic group by 1)"
 _AUTO = f"""auto as (select 0 as lag, 1.0e0 as value union all select lag::int, avg(c) from (select l.lag, t.date, {_corr('s.s', 't.s')} as c
@@ -419,6 +434,7 @@ select * from wide where target is not null""",
         "apply_shapes": q("", f"select date, identifier, {_r(_shape('f1', _G1.replace('0.3e0', '0.3e0')))} as x1, {_r(_shape('f6', 'COS(i / 50.0e0)'))} as x6 from panel"),
         "shape_response_split": f"with g as (select i, abs({_G1.replace('i /', '(i + 1) /')} - ({_G1})) + abs(cos((i + 1) / 50.0e0) - cos(i / 50.0e0)) as m from (select unnest(range(399)) as i)) select round(sum(m) filter (i < 133) / sum(m), 6) as low, round(sum(m) filter (i >= 133 and i < 266) / sum(m), 6) as mid, round(sum(m) filter (i >= 266) / sum(m), 6) as high from g",
         "score_signal": q(f"{_LIC}, {_AUTO}, d as materialized (select * from {_ic('f3')})", f"select {_r('avg(ic)')} as mean_ic, {_r('avg(ic) / stddev_samp(ic) * sqrt(252.0e0)')} as ic_ir_ann, {_r('avg(case when round(ic, 10) > 0 then 1.0e0 else 0.0e0 end)')} as hit_rate, count(ic) as n_days, {_r('max(t)')} as nw_t, {_r('max(port_ir)')} as port_ir_ann, {_r('max(half_life)')} as half_life, {_r('(select value from decay where lag = 5) / (select value from decay where lag = 0)')} as ret_5d, {_r('1 - (select value from auto where lag = 5)')} as turn_l5 from d, {_hac('d')}, {_PORT}, {_HALFLIFE.format(c='decay')} where ic is not null"),
+        "holdout_simple": q(_HELD, f"select method, count(ic) as n_days, {_r('avg(ic)')} as mean_ic, {_r('max(t)')} as nw_t, {_r('avg(ic) / stddev_samp(ic) * sqrt(252.0e0)')} as ic_ir_ann from hic join {_hac('hic', 'method')} h using (method) group by 1"),
         "ridge_2feature": q(f"{_TWO}, sol as (select s1, s6, {_solve('0.1e0')} from two)", f"select 'f1' as feature, {_r('u1 / s1')} as w from sol union all select 'f6', {_r('u6 / s6')} from sol"),
         "uniqueness_2feature": q(f"{_FIC}, {_TWO}, m as (select avg(ic) filter (feature = 'f1') as i1, avg(ic) filter (feature = 'f6') as i6 from fic), sol as (select s1, s6, {_solve('0.1e0', 'i1', 'i6')} from two, m)", f"select 'f1' as feature, {_r('u1 / sqrt(u1 * u1 + u6 * u6) / s1')} as w from sol union all select 'f6', {_r('u6 / sqrt(u1 * u1 + u6 * u6) / s6')} from sol"),
         "ols_2feature": q(f"{_TWO}, sol as (select s1, s6, {_solve('0.0e0')} from two)", f"select 'f1' as feature, {_r('u1 / s1')} as w from sol union all select 'f6', {_r('u6 / s6')} from sol"),

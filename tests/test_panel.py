@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from signalmesh import cli
 from signalmesh import queries as registered
 from signalmesh.functions.columns import at_lag, avg_rank, interpolated, safe_corr
-from signalmesh.operators import cluster_methods, ic, linear, multiplicity, shapes, trees
+from signalmesh.operators import cluster_methods, holdout, ic, linear, multiplicity, shapes, trees
 from signalmesh.operators.composite import DedupComposite
 from signalmesh.operators.cv import cross_validate, paired_against
-from signalmesh.operators.gate import fit_selected
+from signalmesh.operators.gate import GateDecision, fit_selected
 from signalmesh.plans.panel import SignalPanel, complete_cases, reflected
 from signalmesh.sources.panels import class_paths, load_class, synthetic
 
@@ -183,6 +183,42 @@ def test_files_stream_and_demo(spark, frame, panel, tmp_path):
     assert any("composite" in x for x in cli.demo(spark, 150, 30))
 
 
+def test_study_scores_the_hold_out_once(spark, frame, tmp_path):
+    features = [c for c in frame.columns if c.startswith("f")]
+    for split, rows in (("in_sample", frame.where("date < 1090")), ("out_of_sample", frame.where("date >= 1111"))):
+        for path, cols in zip(class_paths(str(tmp_path), 1, split), (features, ["target"]), strict=True):
+            rows.select("date", "identifier", *cols).write.parquet(path)
+    cli.study(spark, str(tmp_path), [1], str(tmp_path / "out"), skip_cv=True)
+    held = spark.read.csv(str(tmp_path / "out/holdout_c1"), header=True, inferSchema=True).toPandas().set_index("method")
+    assert list(held.columns) == list(holdout.COLUMNS) and list(held.index) == ["naive_averaged", "ic_weight", "pca_pc1", "cluster_eq", "cluster_eb"]
+    train = cli.open_panel(spark, str(tmp_path), 1)
+    test = cli.open_panel(spark, str(tmp_path), 1, ",".join(train.reflected), "out_of_sample")
+    for m in holdout.VECTORS:
+        assert held.loc[m, "mean_ic"] == pytest.approx(np.nanmean(test.ic_of(linear.METHODS[m](train, train.all_days))), abs=1e-6)
+    assert held.loc["cluster_eb", "mean_ic"] == pytest.approx(np.nanmean(DedupComposite(block_weights="eb").fit(train).day_ics(test)), abs=1e-6)
+    assert "hold-out" in (tmp_path / "out/summary.md").read_text() and (tmp_path / "out/diagnostics_c1.txt").exists() and (tmp_path / "out/pls_sweep_c1").is_dir()
+
+
+def test_shaped_arms_share_one_fit(panel, monkeypatch):
+    fits, fit = [], shapes.fit_stump_shapes
+    monkeypatch.setattr(shapes, "fit_stump_shapes", lambda *a: fits.append(a) or fit(*a))
+    for adopted, chosen in ((True, "cluster_eb_shaped"), (False, "cluster_eq")):
+        arms = holdout.frozen_arms(panel, GateDecision(adopted, 0, 0, adopted, 0, 0, 0, 0, adopted), n_stumps=5, min_rows=50)
+        assert arms["selected (gated)"] is arms[chosen] and {"cluster_eq_shaped", "cluster_eb"} <= set(arms)
+    assert len(fits) == 2
+    with pytest.raises(ValueError):
+        arms["ic_weight"](panel.subset([0, 1]))
+
+
+def test_composite_of_a_matrix_and_other_weights(panel):
+    comp = DedupComposite().fit(panel)
+    rows = comp(panel.df).limit(200).toPandas()
+    assert comp(rows[panel.features].to_numpy()) == pytest.approx(rows["s"].to_numpy())
+    assert comp.reweighted("eb").weights == pytest.approx(DedupComposite(block_weights="eb").fit(panel).weights)
+    with pytest.raises(ValueError):
+        comp(np.zeros((3, 1)))
+
+
 def test_registered_names():
     import __spark_entry__ as e
 
