@@ -9,9 +9,10 @@ Documents are range-partitioned and sorted by id; each task writes a shard under
 folder. The manifest, settled as Parquet, names the shards that count, so retried tasks leave only unused
 files. Starts are a prefix sum over the manifest (a row for each shard) plus the record's place in its shard.
 
-Encoding is the library's own, special tokens in the text included. Under a byte-level tokenizer a text that has only single blanks and newlines
-between its words splits there exactly into the tokenizer's own pieces; each distinct piece of a batch is looked up in a bounded cache or encoded by the library,
-and the batch's ids are gathered in numpy. Any other text goes to the library whole.
+Encoding is the library's own, special tokens in the text included. Under a byte-level tokenizer a text falls apart exactly before any blank or newline
+that something other than white space follows (the tokenizer's own split never reaches across), so steps of a task's texts are cut there as bytes; equal
+pieces are numbered by Arrow, those not in a bounded cache are encoded by the library, many in a call, and the ids are gathered in numpy. The pieces of
+one call are told apart by the bytes that its ids stand for. Under any other tokenizer texts go to the library whole.
 
 Defined cases: null and empty texts hold the end id only; null ids come first; rows that share an id are ordered by text; a very long text is one
 record, encoded whole; only the id and the text are read, so other columns may have any name.
@@ -25,10 +26,8 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +35,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_store, settle, shared_dir, small_batches, text_or_empty
-
-#: Pieces that one generation of a worker's cache holds; there are two generations.
-CACHE_PIECES = 400_000
-#: Marks that end a word in one piece of their own, if letters alone stand before.
-MARKS = frozenset(".,;:!?")
+from .common import buffers, keep_only, open_store, settle, shared_dir, small_batches, steps, text_or_empty
+
+#: Pieces, and bytes of their text, that a worker's cache holds from one step to the next, at most; beyond either, those used most stay, half as many.
+CACHE_PIECES, CACHE_BYTES = 600_000, 32 << 20
+#: Bytes of the longest piece that then stays.
+KEPT_BYTES = 256
+#: Bytes of text that a step takes, and one call of the library, a longer single text aside.
+STEP_BYTES, CALL_BYTES = 8 << 20, 1 << 18
+#: Pieces in one text for the library; pieces whose ids are gathered at once.
+CALL_PIECES, GATHER_PIECES = 256, 1 << 19
+#: Marks that end a word in one piece of their own, behind ASCII letters and digits and those of U+00C0 to U+00FF.
+MARKS = np.isin(np.arange(256), list(b".,;:!?"))
+ALNUM = np.isin(np.arange(256), list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+#: Bytes that begin no white space: what is ASCII and visible, and all lead bytes but those of U+0080 to U+00BF and U+1000 to U+3FFF.
+VISIBLE = np.zeros(256, bool)
+VISIBLE[0x21:0x7F] = VISIBLE[0xC3:0xF5] = True
+VISIBLE[0xE1:0xE4] = False
 MANIFEST = "shard long, path string, n_records long, n_tokens long"
 HEAD = "<qBI"
 
@@ -73,7 +83,7 @@ def is_plain(text: str) -> bool:
 
 
 class Encoder:
-    """Texts to packed ids. A full generation of cached pieces replaces the one before, whose pieces return as they recur."""
+    """Texts to packed ids. Pieces keep the ids that the library gave them for as long as they are among those used most."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,59 +94,112 @@ class Encoder:
         self.size = array(self.code).itemsize
         told = json.loads(self.tokenizer.to_str())
         before = told.get("pre_tokenizer") or {}
-        loose = any(t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.splits = not told.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not loose
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Packed ids of distinct pieces, each with the blank or newline that leads it."""
-        if len(self.now) + len(pieces) > CACHE_PIECES:
-            self.before, self.now = self.now, {}
-        now, before = self.now, self.before
-        missing = []
-        for p in pieces:
-            if p not in now:
-                if (ids := before.get(p)) is None:
-                    missing.append(p)
-                else:
-                    now[p] = ids
-        cut = [p[-1] in MARKS and p[1:-1].isalpha() and (p[0].isalpha() or p[0] in " \n") for p in missing]
-        todo = list({x for p, c in zip(missing, cut, strict=True) for x in ((p[:-1], p[-1]) if c else (p,))} - now.keys())
-        for k in range(0, len(todo), 4096):
-            part = todo[k : k + 4096]
-            now.update(zip(part, self.ids(part), strict=True))
-        for p, c in zip(missing, cut, strict=True):
-            if c:
-                now[p] = now[p[:-1]] + now[p[-1]]
-        return [now[p] for p in pieces]
+        added = self.tokenizer.get_added_tokens_decoder()
+        loose = any(t.lstrip or t.rstrip or t.single_word or any(map(str.isspace, t.content)) for t in added.values())
+        whole = told.get("normalizer") or told.get("truncation") or told.get("padding")
+        self.splits = not whole and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not loose
+        self.follows, self.marks = VISIBLE.copy(), MARKS.copy()
+        for t in added.values():  # white space before an added token is split as at an end, and a token is never cut
+            self.follows[list(t.content.encode()[:1])] = False
+            self.marks[list(t.content.encode()[-1:])] = False
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes of text that each id stands for.
+        self.wide = np.zeros(1 + max(vocabulary.values(), default=0), np.int64)
+        for token, i in vocabulary.items():
+            self.wide[i] = len(added[i].content.encode()) if i in added else len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache: pieces, and of each the place and number of its ids in the pool, and how much it was used."""
+        self.known = pa.array([], pa.large_binary())
+        self.start, self.n, self.use = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.pool = np.zeros(0, self.code)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.code) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the pieces of rows of UTF-8 begin, and the end."""
+        edge = np.zeros(len(data) + 1, bool)
+        edge[: len(data) - 1] = ((data[:-1] == 32) | (data[:-1] == 10)) & self.follows[data[1:]]
+        edge[at[1:][at[1:] > at[:-1]] - 1] = False  # the next row follows nothing
+        edge[at] = True
+        mark = np.flatnonzero(self.marks[data] & edge[1:])
+        mark = mark[mark >= 2]
+        last = data[mark - 1]
+        edge[mark[ALNUM[last] | (data[mark - 2] == 0xC3) & (last != 0x97) & (last != 0xB7)]] = True
+        return np.flatnonzero(edge)
+
+    def fresh(self, pieces: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids, one piece behind the other, and their number in each of distinct pieces."""
+        data, at = buffers(pieces)
+        raw, at = data[at[0] : at[-1]].tobytes(), at - at[0]
+        data = np.frombuffer(raw, np.uint8)
+        long = np.flatnonzero(at[1:] - at[:-1] > 1)
+        leads = np.zeros(len(pieces), bool)  # of those, any number may stand behind each other and be split as alone
+        leads[long] = ((data[at[long]] == 32) | (data[at[long]] == 10)) & self.follows[data[at[long] + 1]]
+        runs = np.flatnonzero(~leads | np.r_[True, ~leads[:-1]])  # any other piece is a run of its own
+        runs = np.unique(np.r_[np.arange(0, len(pieces), CALL_PIECES), runs, len(pieces)])
+        cut = at[runs].tolist()
+        got = [x for lo, hi in steps(at[runs], CALL_BYTES) for x in self.ids([raw[a:b].decode() for a, b in zip(cut[lo:hi], cut[lo + 1 : hi + 1], strict=True)])]
+        ends = np.cumsum(self.wide[np.concatenate(got)])
+        last = np.searchsorted(ends, at[1:])
+        if len(ends) and last[-1] == len(ends) - 1 and (ends[last] == at[1:]).all():
+            return got, np.diff(last, prepend=-1)
+        got = [x for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for x in self.ids([raw[a:b].decode()])]  # ids that do not tell their bytes
+        return got, np.array([len(x) for x in got], np.int64)
+
+    def numbered(self, pieces: pa.Array) -> np.ndarray:
+        """Each piece's number in the cache, which takes in those that it lacks."""
+        have = len(self.known)
+        coded = pa.concat_arrays([self.known, pieces]).dictionary_encode()
+        own = coded.indices.to_numpy()[have:]
+        if len(coded.dictionary) > have:
+            got, n = self.fresh(coded.dictionary[have:])
+            self.start = np.r_[self.start, len(self.pool) + np.cumsum(n) - n]
+            self.n = np.r_[self.n, n]
+            self.pool = np.concatenate([self.pool, *got])
+            self.known = coded.dictionary
+        return own
+
+    def gather(self, own: np.ndarray) -> np.ndarray:
+        """The ids of numbered pieces, one behind the other."""
+        n = self.n[own]
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.start[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def age(self, own: np.ndarray) -> None:
+        """Count what a step used, and let go of the pieces used least if the cache holds too much."""
+        self.use = np.r_[self.use / 2, np.zeros(len(self.known) - len(self.use))] + np.bincount(own, minlength=len(self.known))
+        _, at = buffers(self.known)
+        if len(self.known) > CACHE_PIECES or at[-1] - at[0] > CACHE_BYTES:
+            size = np.diff(at)
+            short = np.flatnonzero(size <= KEPT_BYTES)
+            first = short[np.argsort(-self.use[short], kind="stable")][: CACHE_PIECES // 2]
+            kept = np.sort(first[np.cumsum(size[first]) <= CACHE_BYTES // 2])
+            self.pool = self.gather(kept)
+            self.known, self.n, self.use = self.known.take(pa.array(kept)), self.n[kept], self.use[kept]
+            self.start = np.cumsum(self.n) - self.n
+
+    def encode_rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, where each row's begin in them, and the end); nulls are empty."""
+        if not self.splits:
+            got = [x for t in texts.to_pylist() for x in self.ids([t or ""])]
+            return np.concatenate([np.zeros(0, self.code), *got]), np.cumsum([0, *map(len, got)])
+        data, at = buffers(texts)
+        data, at = data[at[0] : at[-1]], at - at[0]
+        if not len(data):
+            return np.zeros(0, self.code), np.zeros(len(at), np.int64)
+        begin = self.cuts(data, at)
+        own = self.numbered(pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]))
+        out = np.concatenate([self.gather(own[k : k + GATHER_PIECES]) for k in range(0, len(own), GATHER_PIECES)])
+        rows = np.r_[0, np.cumsum(self.n[own])][np.searchsorted(begin, at)]
+        self.age(own)
+        return out, rows
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and self.splits and is_plain(t)]
-        other = [i for i in sorted(set(range(len(texts))) - set(plain)) if texts[i]]
-        for i in other:
-            out[i] = self.ids([texts[i]])[0]
-        if plain:
-            number: defaultdict[str, int] = defaultdict(count().__next__)
-            cut = "\1".join([texts[i] for i in plain]).replace(" ", "\1 ").replace("\n", "\1\n").split("\1")
-            own = np.fromiter(map(number.__getitem__, cut), np.int64, len(cut))
-            known = self.pieces(list(number))
-            pool = np.frombuffer(b"".join(known), self.code)
-            size = np.array([len(x) for x in known], np.int64) // self.size
-            start = np.cumsum(size) - size
-            n = size[own]
-            ends = np.cumsum(n)
-            ids = pool[np.repeat(start[own] - (ends - n), n) + np.arange(int(ends[-1]))]
-            last = np.cumsum([texts[i].count(" ") + texts[i].count("\n") + 1 for i in plain]) - 1
-            at = 0
-            for i, end in zip(plain, ends[last].tolist(), strict=True):
-                out[i] = ids[at:end].tobytes()
-                at = end
-        return out
+        ids, at = self.encode_rows(pa.array(texts, pa.large_string()))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -145,6 +208,18 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, as many joined as hold STEP_BYTES."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > STEP_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Write shards and indexes below a shared folder URI; returns the settled manifest."""
     small_batches(docs.sparkSession)
@@ -152,25 +227,25 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     placed = own.repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("token_files", encoder_of.cache_clear)
         task, encoder = TaskContext.get(), None
         store, base = open_store(f"{folder}/shards")
         name, file, index, at, total = "", None, [], 0, 0
-        for batch in batches:
+        for batch in gathered(batches):
             if encoder is None:
                 encoder = encoder_of(tokenizer)
                 end = array(encoder.code, [end_id]).tobytes()
                 store.create_dir(base, recursive=True)
                 name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
                 file = store.open_output_stream(f"{base}/{name}.bin", compression=None)
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                for i, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // encoder.size
-                    raw = frame(struct.pack(HEAD, i or 0, (i is None) | encoder.size << 1, n) + ids)
-                    file.write(raw)
-                    index.append((at, n))
-                    at, total = at + len(raw), total + n
+            ids, edges = encoder.encode_rows(batch.column(1))
+            edges = edges.tolist()
+            for i, lo, hi in zip(batch.column(0).to_pylist(), edges[:-1], edges[1:], strict=True):
+                n = hi - lo + 1
+                raw = frame(b"".join((struct.pack(HEAD, i or 0, (i is None) | encoder.size << 1, n), ids[lo:hi].tobytes(), end)))
+                file.write(raw)
+                index.append((at, n))
+                at, total = at + len(raw), total + n
         if file is not None:
             file.close()
             with store.open_output_stream(f"{base}/{name}.idx", compression=None) as f:

@@ -516,6 +516,56 @@ def test_pieces_agree_with_the_library():
     assert [np.frombuffer(x, own.code).tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+class Counted:
+    """A tokenizer that counts the texts and characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts, self.chars = tokenizer, 0, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts, self.chars = self.texts + len(texts), self.chars + sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_the_library_gets_each_piece_once_and_many_in_a_call():
+    own = token_files.Encoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    own.tokenizer = counted = Counted(own.tokenizer)
+    words = [f"{a}{b}{c}" for a in "bcdfghklmnprst" for b in ("a", "e", "ou", "é") for c in ("nd", "st", "l", "tion", "x")]
+    own.encode([" ".join(words)])
+    assert counted.texts < len(words) / 10
+    own.encode(["a  \t" + "  ".join(words)] * 50)
+    assert counted.chars < 4 * sum(map(len, words))
+
+
+def test_pieces_agree_with_the_library_at_any_white_space(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    t, own = Tokenizer.from_file(path), token_files.Encoder(path)
+    monkeypatch.setattr(token_files, "CALL_PIECES", 3)
+    rng = np.random.default_rng(4)
+    bits = ["don't", "a.", "ünï!", "é,", "×.", "ÿ?", "3.5", "...", "<|endoftext|>", "<|", "日本", "\u00a0", "\u3000", "\u2009", "\x85", "\x1c", "\0", "🎉", ",", "'"]
+    blanks = [" "] * 6 + ["\n", "", "  ", "\t", " \n", "\n ", "\r\n", "\n\n", "   ", "\u00a0 ", " \u00a0", "\u2003 ", " \t "]
+    for most, size in ((10**6, 1 << 25), (40, 200)):
+        monkeypatch.setattr(token_files, "CACHE_PIECES", most)
+        monkeypatch.setattr(token_files, "CACHE_BYTES", size)
+        for _ in range(2):
+            texts = ["".join(str(rng.choice(blanks)) + str(rng.choice(bits)) for _ in range(rng.integers(0, 10))) + str(rng.choice(blanks)) for _ in range(400)]
+            assert [np.frombuffer(x, own.code).tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+            assert len(own.known) <= most
+    own.wide[:] = 1  # ids that do not tell their bytes
+    own.forget()
+    assert [np.frombuffer(x, own.code).tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_joined_batches_keep_every_row():
+    batches = [pa.RecordBatch.from_pydict({"id": [3 * k, 3 * k + 1, 3 * k + 2], "text": ["x" * 3_000_000, None, ""]}) for k in range(12)]
+    joined = list(token_files.gathered(iter(batches)))
+    assert len(joined) == 6 and [i for b in joined for i in b.column(0).to_pylist()] == list(range(36))
+    assert max(b.nbytes for b in joined) <= token_files.STEP_BYTES
+    assert list(token_files.gathered(iter([]))) == []
+
+
 def test_hostile_token_heads_are_no_secrets():
     import base64
 
